@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -75,8 +76,11 @@ def stage(frame: DataFrame, tag: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose frames are gone, before the next large step writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python lets go of its frames, then the JVM of the plans behind them
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -89,7 +93,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def only(frame: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone; a missing one is null, so clashing or extra columns of the input never matter."""
-    kinds = {"text": "string", "html": "string"}
+    kinds = {"text": "string", "html": "string", "url": "string"}
     return frame.select(*(F.col(f"`{c}`").cast(kinds.get(c, "long")).alias(c) if c in frame.columns else F.lit(None).cast(kinds.get(c, "long")).alias(c) for c in columns))
 
 
@@ -116,6 +120,10 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         row = stop
 
 
+def filled(texts: pa.Array) -> pa.Array:
+    return pc.fill_null(texts, "")
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup
+from . import decontamination, near_dedup, packing, substring_dedup, token_files, warc
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op6_decontamination": decontamination.op6_decontamination,
+    "op7_warc": warc.op7_warc,
+    "op8_token_files": token_files.op8_token_files,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
     "op4_near_dedup": near_dedup.ORACLE_SQL,
+    "op6_decontamination": decontamination.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }

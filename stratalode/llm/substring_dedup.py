@@ -25,12 +25,14 @@ class Passages:
 
     A minimiser with at least 1 / share of all runs in some task is a candidate for the hot list, and is on it if the
     candidates' counts reach 1 / share of all runs: so the list has at most share entries, and every minimiser with
-    2 / share of all runs is on it. Windows of hot minimisers go by the hash of the window instead.
+    2 / share of all runs is on it. Windows of hot minimisers go by the hash of the window instead: those that repeat are
+    broadcast if there are at most broadcast_rows of them, else joined.
     """
 
     k: int = 13
     m: int = 3
     share: int = 2000
+    broadcast_rows: int = 1_000_000
 
 
 def _squeeze(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -125,7 +127,7 @@ def _super(p: Passages, hot: np.ndarray, buckets: int):
     """
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for rows, data, offsets in slices(batch, limit=4 * SLICE_BYTES):
                 ids, dup = (column(batch, c)[rows].to_numpy(zero_copy_only=False) for c in ("doc_id", "dup"))
@@ -164,6 +166,57 @@ def _super(p: Passages, hot: np.ndarray, buckets: int):
     return run
 
 
+def _hot_at(data, offsets, ids, p: Passages, hot: np.ndarray):
+    """Where the windows of hot minimisers are in a slice: window, text, its doc_id, two hashes of the window."""
+    hashes, _, _, first, heads, lengths, value, doc = _runs(data, offsets, p)
+    pick = np.flatnonzero(np.isin(value, hot))
+    at, _ = _gather(np.arange(len(hashes)), heads[pick], heads[pick] + lengths[pick])
+    of = np.repeat(doc[pick], lengths[pick])
+    h1, h2 = (T.chain(hashes, p.k, f)[at].view(np.int64) for f in _TWO)
+    return at, first, of, ids[of], h1, h2
+
+
+def _hot_lows(p: Passages, hot: np.ndarray):
+    """Windows of hot minimisers, each once a slice: its hashes, the least and the largest doc_id."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in slices(batch, limit=4 * SLICE_BYTES):
+                ids = column(batch, "doc_id")[rows].to_numpy(zero_copy_only=False)
+                _, _, _, owner, h1, h2 = _hot_at(data, offsets, ids, p, hot)
+                order = np.lexsort((h2, h1))
+                new = np.ones(len(order), bool)
+                new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+                top = np.flatnonzero(new)
+                low, high = (f.reduceat(owner[order], top) if len(top) else owner for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[order][top], h2[order][top], low, high)], names=["h1", "h2", "low", "high"])
+
+    return run
+
+
+def _hot_ranges(p: Passages, hot: np.ndarray, shared):
+    """(doc_id, word, n) of the windows of hot minimisers that start in a smaller document, by the table of these windows."""
+
+    def run(batches):
+        known1, known2, low = shared.value
+        for batch in batches:
+            for rows, data, offsets in slices(batch):
+                ids, dup = (column(batch, c)[rows].to_numpy(zero_copy_only=False) for c in ("doc_id", "dup"))
+                at, first, of, owner, h1, h2 = _hot_at(data, offsets, ids, p, hot)
+                near = np.minimum(np.searchsorted(known1, h1), len(known1) - 1)
+                hit = np.flatnonzero((known1[near] == h1) & (known2[near] == h2) & (low[near] < owner))
+                if not len(hit):
+                    continue
+                at, of = at[hit], of[hit]
+                edge = np.ones(len(hit), bool)
+                edge[1:] = (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])
+                heads = np.flatnonzero(edge)
+                n = np.diff(np.append(heads, len(hit)))
+                yield pa.RecordBatch.from_arrays([pa.array(owner[hit][heads]), pa.array(at[heads] - first[of[heads]] + (dup[of[heads]] << DUP)), pa.array(n)], names=["doc_id", "word", "n"])
+
+    return run
+
+
 def _hot_windows(p: Passages, hot: np.ndarray):
     """The windows of hot minimisers, one by one."""
 
@@ -171,14 +224,8 @@ def _hot_windows(p: Passages, hot: np.ndarray):
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 ids, dup = (column(batch, c)[rows].to_numpy(zero_copy_only=False) for c in ("doc_id", "dup"))
-                hashes, _, _, first, heads, lengths, value, doc = _runs(data, offsets, p)
-                pick = np.flatnonzero(np.isin(value, hot))
-                if not len(pick):
-                    continue
-                at, _ = _gather(np.arange(len(hashes)), heads[pick], heads[pick] + lengths[pick])
-                of = np.repeat(doc[pick], lengths[pick])
-                two = [T.chain(hashes, p.k, f)[at].view(np.int64) for f in _TWO]
-                yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1]), pa.array(ids[of]), pa.array(at - first[of] + (dup[of] << DUP))], names=["h1", "h2", "doc_id", "word"])
+                at, first, of, owner, h1, h2 = _hot_at(data, offsets, ids, p, hot)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, owner, at - first[of] + (dup[of] << DUP))], names=["h1", "h2", "doc_id", "word"])
 
     return run
 
@@ -254,21 +301,24 @@ def _remove(p: Passages):
             for rows, data, offsets in slices(batch):
                 starts, ends, first = T.words(data, offsets)
                 copies, words, ns = (column(batch, c)[rows].to_pylist() for c in ("copy", "words", "ns"))
-                total, gone, kept = [], [], []
+                drop = np.zeros(len(starts) + 1, np.int64)
                 for d in range(len(first) - 1):
                     a, b = first[d], first[d + 1]
-                    drop = np.zeros(b - a + 1, np.int64)
                     if copies[d] and b - a >= p.k:
-                        drop[0], drop[-1] = 1, -1
+                        drop[a] += 1
+                        drop[b] -= 1
                     elif words[d]:
-                        w, n = np.array(words[d]), np.array(ns[d])
+                        w, n = a + np.array(words[d]), np.array(ns[d])
                         np.add.at(drop, w, 1)
                         np.add.at(drop, w + n + p.k - 1, -1)
-                    left = np.flatnonzero(np.cumsum(drop[:-1]) == 0) + a
-                    total.append(b - a)
-                    gone.append(b - a - len(left))
-                    kept.append(_squeeze(data, starts[left], ends[left])[0][:-1].tobytes().decode())
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id")[rows], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
+                left = np.flatnonzero(np.cumsum(drop[:-1]) == 0)
+                kept = np.searchsorted(left, first)
+                text, begins = _squeeze(data, starts[left], ends[left])
+                text = text.tobytes()
+                cuts = begins[kept].tolist()
+                texts = [text[x : max(x, y - 1)].decode() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                total = np.diff(first)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id")[rows], pa.array(total, pa.int64()), pa.array(total - np.diff(kept), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
     return run
 
@@ -280,7 +330,8 @@ def substring_dedup(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
        whole) and the hot minimisers, a list of bounded length.
     2. Consecutive windows with one minimiser travel as one packed string to the bucket of the minimiser; equal
        strings of a slice travel once. Sorting a bucket's windows (by 128-bit hash) gives the least doc_id of each.
-    3. Windows of hot minimisers go by their 128-bit hash: a minimum before the shuffle, and a join that splits skew.
+    3. Windows of hot minimisers go by their 128-bit hash: a minimum before the shuffle; then a second look at the
+       texts with the table of those that repeat, or, where that is large, a join that splits skew.
 
     Null or blank text: no words, none removed, and an empty text comes back. A row without doc_id keeps all its words
     and counts for no other row. Rows with one doc_id remove nothing from each other.
@@ -305,9 +356,18 @@ def substring_dedup(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     single = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
     ranges = single.mapInArrow(_super(p, hot, buckets), "bucket long, blob binary").repartition(buckets // 16, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(p), "doc_id long, word long, n long")
     if len(hot):
-        windows = single.mapInArrow(_hot_windows(p, hot), "h1 long, h2 long, doc_id long, word long")
-        first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-        ranges = ranges.unionByName(windows.join(first, ["h1", "h2"]).where("doc_id > low").select("doc_id", "word", F.lit(1).cast("long").alias("n")))
+        lows = single.mapInArrow(_hot_lows(p, hot), "h1 long, h2 long, low long, high long").groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        lows = stage(lows.where("low < high").select("h1", "h2", "low"), "hot")
+        # the table is looked up by its first hash, which must tell its windows apart
+        size = lows.agg(F.count("*").alias("n"), F.count_distinct("h1").alias("keys")).first()
+        if size["n"] <= p.broadcast_rows and size["keys"] == size["n"]:
+            table = np.array(lows.orderBy("h1").collect(), np.int64).reshape(-1, 3)
+            if len(table):
+                shared = spark.sparkContext.broadcast(tuple(table.T.copy()))
+                ranges = ranges.unionByName(single.mapInArrow(_hot_ranges(p, hot, shared), "doc_id long, word long, n long"))
+        else:
+            windows = single.mapInArrow(_hot_windows(p, hot), "h1 long, h2 long, doc_id long, word long")
+            ranges = ranges.unionByName(windows.join(lows, ["h1", "h2"]).where("doc_id > low").select("doc_id", "word", F.lit(1).cast("long").alias("n")))
     ranges = stage(ranges, "repeats")
     release(spark)
     mask = (1 << DUP) - 1
