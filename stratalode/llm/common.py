@@ -83,8 +83,9 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.3)
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Rows of a batch that later jobs of the session hand to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing, substring_dedup, token_files, warc
+from . import decontamination, language_model, media, near_dedup, packing, substring_dedup, token_files, toxicity, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_language_model": language_model.op5_language_model,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_warc": warc.op7_warc,
     "op8_token_files": token_files.op8_token_files,
+    "op9_media": media.op9_media,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {

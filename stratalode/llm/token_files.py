@@ -32,7 +32,7 @@ class Shards:
 
 
 def _hash(keys: np.ndarray, seed) -> np.ndarray:
-    return mix(keys.astype(np.int64).view(np.uint64) ^ mix(np.asarray(seed, np.uint64) + U(0x51ED270B)))
+    return mix(keys.astype(np.int64).view(np.uint64) ^ mix(np.atleast_1d(np.asarray(seed, np.uint64)) + U(0x51ED270B)))
 
 
 class PerfectHash:
