@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import column, only, read, rows_from, rows_of, slices, small_batches, stage
+from .common import column, only, read, release, rows_from, rows_of, slices, small_batches, stage
 from .components import components
 
 _A = np.random.RandomState(71).randint(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -21,18 +21,20 @@ _A = np.random.RandomState(71).randint(0, 1 << 63, 4096, dtype=np.uint64) * np.u
 class Near:
     """k words a shingle; documents link where 100 * intersection >= percent * union.
 
-    bands x rows hashes make a signature. A pair at the limit shares no band with probability
-    (1 - (percent / 100) ** rows) ** bands: 7.7e-7 at 85, 1.5e-5 at 80. Verification reads batch hashes at a time and
+    bands x rows hashes of 16 bits make a signature. A pair at the limit shares no band with probability
+    (1 - (percent / 100) ** rows) ** bands: 3.8e-7 with 36 bands of 7 at 85, 5.2e-6 with 40 of 6 at 80. Verification reads batch hashes at a time and
     drops a pair once the posterior probability (uniform prior) that its similarity reaches the limit is below miss.
     """
 
     k: int = 5
     percent: int = 80
-    bands: int = 28
-    rows: int = 5
-    batch: int = 20
+    bands: int = 40
+    rows: int = 6
+    batch: int = 24
     miss: float = 1e-6
-    star_rounds: int = 4
+    star_rounds: int = 3
+    per_row: int = 100
+    block_rows: int = 4096
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -53,7 +55,7 @@ def signature(found: np.ndarray, size: int) -> np.ndarray:
     out = np.full(size, ~np.uint64(0))
     for at in range(0, len(found), 1024):
         np.minimum(out, (found[None, at : at + 1024] * _A[:size, None]).min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(48)).astype(np.uint16)
 
 
 def _sketch(near: Near):
@@ -79,7 +81,7 @@ def _sketch(near: Near):
 def _bands(near: Near):
     def run(batches):
         for batch in batches:
-            sigs = rows_from(column(batch, "sig"), np.uint32, near.bands * near.rows).astype(np.uint64)
+            sigs = rows_from(column(batch, "sig"), np.uint16, near.bands * near.rows).astype(np.uint64)
             ids = column(batch, "rep").to_numpy()
             keys = np.stack([T.mix(T.chain_columns(sigs[:, j * near.rows : (j + 1) * near.rows]) + np.uint64(j)) for j in range(near.bands)], 1)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, near.bands))], names=["key", "rep"])
@@ -110,7 +112,7 @@ def _prune(near: Near):
 
     def run(batches):
         for batch in batches:
-            a, b = (rows_from(column(batch, c), np.uint32, size) for c in ("sig_a", "sig_b"))
+            a, b = (rows_from(column(batch, c), np.uint16, size) for c in ("sig_a", "sig_b"))
             alive, matches, done = np.arange(len(a)), np.zeros(len(a), int), 0
             for n, least in steps:
                 matches[alive] += (a[alive, done:n] == b[alive, done:n]).sum(1)
@@ -146,28 +148,90 @@ def _exact(near: Near):
     return run
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+def _verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """The pairs (a, b) that link; signatures first, then full sets of what is left."""
     a = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     b = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    left = stage(pairs.join(a, "a").join(b, "b").mapInArrow(_prune(near), "a long, b long"), "survivors")
-    ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(near), "id long, found binary")
-    # a doc_id may come with several texts: the set that its class was made of has one row
-    rows = stage(rows.dropDuplicates(["id", "found"]), "sets")
-    a = rows.select(F.col("id").alias("a"), F.col("found").alias("set_a"))
-    b = rows.select(F.col("id").alias("b"), F.col("found").alias("set_b"))
-    return left.join(a, "a").join(b, "b").mapInArrow(_exact(near), "a long, b long").distinct()
+    left = pairs.join(a, "a").join(b, "b").mapInArrow(_prune(near), "a long, b long").distinct()
+    a = sets.select(F.col("id").alias("a"), F.col("found").alias("set_a"))
+    b = sets.select(F.col("id").alias("b"), F.col("found").alias("set_b"))
+    return left.join(a, "a").join(b, "b").mapInArrow(_exact(near), "a long, b long")
+
+
+def _cross(near: Near):
+    """Rows sorted by (key, low, high): pairs of different components in a group that signatures don't rule out."""
+    size, steps = near.bands * near.rows, least_matches(near)
+
+    def pairs(rep, component, block, sig):
+        _, component, counts = np.unique(component, return_inverse=True, return_counts=True)
+        order = np.lexsort((component, counts[component]))  # the largest component comes last: it is only compared with
+        rep, component, block, sig = rep[order], component[order], block[order], sig[order]
+        heads = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
+        for low, high in zip(heads, heads[1:], strict=False):
+            step = max(1, (1 << 23) // (near.batch * (len(rep) - high)))
+            for at in range(low, high, step):
+                own = sig[at : min(high, at + step)]
+                a, b = np.nonzero((own[:, None, : near.batch] == sig[None, high:, : near.batch]).sum(2, dtype=np.uint8) >= steps[0][1])
+                a, b = a + at, b + high
+                if block[0] != block[-1] or (block != block[0]).any():
+                    a, b = a[block[a] != block[b]], b[block[a] != block[b]]
+                matches, done = (sig[a, : near.batch] == sig[b, : near.batch]).sum(1), near.batch
+                for n, least in steps[1:]:
+                    matches = matches + (sig[a, done:n] == sig[b, done:n]).sum(1)
+                    keep = matches >= least
+                    a, b, matches, done = a[keep], b[keep], matches[keep], n
+                yield np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+
+    def out(rows):
+        rep, component, block, sig = (np.concatenate(x) for x in zip(*rows, strict=True))
+        for a, b in pairs(rep, component, block, sig):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([column(batch, c).to_numpy() for c in ("key", "low", "high")], 1)
+            columns = [column(batch, c).to_numpy() for c in ("rep", "component", "block")] + [rows_from(column(batch, "sig"), np.uint16, size)]
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y == x:
+                    continue
+                if held and tuple(keys[x]) != key:
+                    yield from out(held)
+                    held = []
+                key = tuple(keys[x])
+                held.append([c[x:y] for c in columns])
+        if held:
+            yield from out(held)
+
+    return run
+
+
+def _across(here: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
+    """Candidate pairs (a, b) of different components in a bucket, from (key, rep, component, size).
+
+    A bucket's rows fall into blocks of about block_rows; every two blocks meet in a task, which compares signatures
+    and returns only what they don't rule out. So no task holds more than two blocks of a bucket.
+    """
+    blocks = F.ceil(F.col("size") / near.block_rows)
+    rows = here.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block")
+    rows = rows.join(reps.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r")).drop("r")
+    parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return rows.mapInArrow(_cross(near), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
     Equal shingle sets become one class first, so large groups of copies cost one signature row in what follows.
-    In each band's bucket every class is compared with the bucket's leader; buckets whose classes are then still in
-    several components go another round with another leader, and last all pairs of different components in a bucket
-    are compared. So pairs are never made inside a group that already hangs together, and no link between different
-    texts is lost for the components.
+    In each band's bucket every class is compared with the bucket's leader. Buckets whose classes are then still in
+    several components go more rounds with other leaders while that helps and they are large; last, all signatures of
+    different components in a bucket are compared, block against block. So nothing is compared inside a group that
+    already hangs together, and no link that joins two components is lost.
 
     A null or blank text has no shingles: it links with nothing and stays. A null doc_id gives a null component and
     stays. Rows with one doc_id are one node: their components are merged, and all of them have the same kept.
@@ -179,36 +243,39 @@ def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
     linked = sketch.where("doc_id is not null and mark is not null")
     classes = linked.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     reps = linked.join(classes.select(F.col("mark").alias("m"), "rep"), F.expr("mark = m and doc_id = rep"), "left_semi")
-    reps = stage(reps.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep", "sig"]), "reps")
+    reps = stage(reps.select(F.col("doc_id").alias("rep"), "sig"), "reps")
     keys = reps.mapInArrow(_bands(near), "key long, rep long")
     leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("key", "leader")
     members = stage(keys.join(leaders, "key"), "buckets")
+    ids = members.select(F.col("rep").alias("id")).distinct()
+    reps = stage(reps.join(ids, F.col("rep") == F.col("id"), "left_semi"), "reps")
+    sets = stage(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(near), "id long, found binary"), "sets")
+    release(spark)
 
     tried = stage(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = stage(_verify(tried, reps, docs, near), "verified")
+    links = stage(_verify(tried, reps, sets, near), "verified")
+    before = None
     for turn in range(near.star_rounds + 1):
         labels = components(links)
         here = members.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        here = stage(here.join(mixed, "key", "left_semi"), "mixed")
+        mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+        here = stage(here.join(mixed, "key"), "mixed")
         sizes = here.groupBy("key", "component").agg(F.count("*").alias("n"))
         cost = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own")).agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not cost["rows"]:
             break
-        last = turn == near.star_rounds or cost["pairs"] <= 2 * cost["rows"]
-        if last:  # every pair of different components in a bucket
-            left, right = here.toDF("key", "a", "ca"), here.toDF("key", "b", "cb")
-            pairs = left.join(right, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            order = F.xxhash64("rep", F.lit(turn))
-            chosen = here.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("x"), F.col("component").alias("cx"))).alias("l")).select("key", "l.x", "l.cx")
-            pairs = here.join(chosen, "key").where("component <> cx").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-        pairs = stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        links = stage(links.unionByName(_verify(pairs, reps, docs, near)), "verified")
-        if last:
+        if turn == near.star_rounds or cost["pairs"] <= near.per_row * cost["rows"] or before and cost["pairs"] > 0.8 * before:
+            pairs = stage(_across(here, reps, near).join(tried, ["a", "b"], "left_anti"), "pairs")
+            links = stage(links.unionByName(_verify(pairs, reps, sets, near)), "verified")
             labels = components(links)
             break
+        before = cost["pairs"]
+        order = F.xxhash64("rep", F.lit(turn))
+        chosen = here.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("x"), F.col("component").alias("cx"))).alias("l")).select("key", "l.x", "l.cx")
+        pairs = here.join(chosen, "key").where("component <> cx").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+        pairs = stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        links = stage(links.unionByName(_verify(pairs, reps, sets, near)), "verified")
     of_class = classes.join(labels, F.col("rep") == F.col("id"), "left").select("mark", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "mark").join(of_class, "mark", "left")
     # rows of one doc_id may be in several classes
@@ -223,7 +290,7 @@ def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def op4_near_dedup(spark, sf_dir):
-    return near_dedup(read(spark, sf_dir, "documents"), Near(k=3, percent=85))
+    return near_dedup(read(spark, sf_dir, "documents"), Near(k=3, percent=85, bands=36, rows=7, batch=28))
 
 
 ORACLE_SQL = r"""
