@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_model, media, near_dedup, packing, substring_dedup, token_files, toxicity, warc
+from . import decontamination, language_model, media, near_dedup, packing, pii, substring_dedup, token_files, toxicity, warc
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_packing": packing.op2_packing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_near_dedup": near_dedup.op4_near_dedup,
@@ -14,6 +22,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_media": media.op9_media,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op4_near_dedup": near_dedup.ORACLE_SQL,
