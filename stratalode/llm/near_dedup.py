@@ -32,6 +32,7 @@ class Near:
     rows: int = 6
     batch: int = 24
     miss: float = 1e-6
+    star_bands: int = 4
     star_rounds: int = 3
     per_row: int = 100
     block_rows: int = 4096
@@ -84,7 +85,8 @@ def _bands(near: Near):
             sigs = rows_from(column(batch, "sig"), np.uint16, near.bands * near.rows).astype(np.uint64)
             ids = column(batch, "rep").to_numpy()
             keys = np.stack([T.mix(T.chain_columns(sigs[:, j * near.rows : (j + 1) * near.rows]) + np.uint64(j)) for j in range(near.bands)], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, near.bands))], names=["key", "rep"])
+            band = np.tile(np.arange(near.bands, dtype=np.int32), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, near.bands)), pa.array(band)], names=["key", "rep", "band"])
 
     return run
 
@@ -228,7 +230,7 @@ def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
     Equal shingle sets become one class first, so large groups of copies cost one signature row in what follows.
-    In each band's bucket every class is compared with the bucket's leader. Buckets whose classes are then still in
+    In the buckets of the first star_bands every class is compared with the bucket's leader. Buckets of all bands whose classes are then still in
     several components go more rounds with other leaders while that helps and they are large; last, all signatures of
     different components in a bucket are compared, block against block. So nothing is compared inside a group that
     already hangs together, and no link that joins two components is lost.
@@ -244,7 +246,7 @@ def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
     classes = linked.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     reps = linked.join(classes.select(F.col("mark").alias("m"), "rep"), F.expr("mark = m and doc_id = rep"), "left_semi")
     reps = stage(reps.select(F.col("doc_id").alias("rep"), "sig"), "reps")
-    keys = reps.mapInArrow(_bands(near), "key long, rep long")
+    keys = reps.mapInArrow(_bands(near), "key long, rep long, band int")
     leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("key", "leader")
     members = stage(keys.join(leaders, "key"), "buckets")
     ids = members.select(F.col("rep").alias("id")).distinct()
@@ -252,7 +254,7 @@ def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
     sets = stage(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(near), "id long, found binary"), "sets")
     release(spark)
 
-    tried = stage(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    tried = stage(members.where(F.col("band") < near.star_bands).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stage(_verify(tried, reps, sets, near), "verified")
     before = None
     for turn in range(near.star_rounds + 1):
