@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, column, filled, only, read, slices, small_batches, stage
+from .common import BATCH_ROWS, SLICE_BYTES, column, filled, only, read, slices, small_batches, stage
 from .files import read_files, write_files
 from .text import mix
 from .tokens import encoder, vocabulary
@@ -171,7 +171,7 @@ def _shards(s: Shards):
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard_blob(number, keys, ids)], pa.binary())], names=["bundle", "blob"])
 
         for batch in batches:
-            for rows, _, _ in slices(batch, limit=4 * SLICE_BYTES):
+            for rows, _, _ in slices(batch, limit=8 * SLICE_BYTES):
                 found = own.encode(filled(column(batch, "text")[rows]))
                 for key, value in zip(column(batch, "doc_id")[rows].to_pylist(), found, strict=True):
                     keys.append(key)
@@ -193,7 +193,7 @@ def write_ids(docs: DataFrame, s: Shards) -> str:
     together, in the order of a hash of their texts.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2 * BATCH_ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = only(docs, "doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return write_files(rows.mapInArrow(_shards(s), "bundle long, blob binary"), "ids", END)

@@ -39,7 +39,7 @@ class WordEncoder:
     `most` stretches are kept, so memory is bounded; a stretch that the younger one lacks is taken from the older one.
     """
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 750_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,56 +49,65 @@ class WordEncoder:
         self.most, self.longest = most, longest
         (self.mark,) = self.tokenizer.encode("\x00", add_special_tokens=False).ids
         self.plain = re.compile(r"[^\s<\x00]+").fullmatch
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         # a sign after a letter, with nothing behind it, is a token of its own
         self.signs = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,|"}
 
-    @staticmethod
-    def _simple(x: str) -> bool:
-        """Of Latin letters whose lower case is one letter each, so the tokenizer's own lowering does the same."""
-        return x.isascii() or max(x) < "\u0250" and "\u0130" not in x
-
     def _learn(self, parts: list[str]) -> None:
-        """Encodes stretches many at once, as a call has its own cost: a mark that no other text gives stands between."""
-        easy = [x for x in parts if self.plain(x)]
-        for at in range(0, len(easy), 1024):
-            some = easy[at : at + 1024]
-            (found,) = self.tokenizer.encode_batch_fast([" \x00 ".join(some)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            raw = ids.tobytes()
-            begins, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
-            self.known.update(zip(some, [raw[b:e] for b, e in zip(begins, ends, strict=True)], strict=True))
-        if len(easy) < len(parts):
-            odd = [x for x in parts if not self.plain(x)]
+        """Encodes stretches many at once, as a call has its own cost. Latin letters alone are one word to the tokenizer,
+        so its last token shows where they end; other plain stretches get a mark between them that no text gives."""
+        words = [x for x in parts if x.isalpha() and (x.isascii() or max(x) < "\u0250" and "\u0130" not in x)]
+        if len(words) < len(parts):
+            others = list(set(parts).difference(words))
+            easy = [x for x in others if self.plain(x)]
+            self._cut(easy, " \x00 ", lambda ids: np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
+            odd = [x for x in others if not self.plain(x)]
             found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
             self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(odd, found, strict=True))
+        self._cut(words, " ", lambda ids: np.flatnonzero(self.last[ids]) + 1, 0)
+
+    def _cut(self, words: list[str], between: str, ends, gap: int) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            (found,) = self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            stops = ends(ids)
+            raw = ids.tobytes()
+            begins = [0, *(4 * (stops[:-1] + gap)).tolist()]
+            self.known.update(zip(some, [raw[b:e] for b, e in zip(begins, (4 * stops).tolist(), strict=True)], strict=True))
 
     def _meet(self, parts: set[str]) -> list[str]:
         """Makes the stretches known; returns those that are too long to keep."""
-        known, older = self.known, self.older
+        known, older, signs = self.known, self.older, self.signs
         new = parts.difference(known)
         if older:
             back = {x: older[x] for x in new if x in older}
             known.update(back)
             new.difference_update(back)
-        self._learn([x for x in new if not self._simple(x)])
-        plan = []
-        for x in filter(self._simple, new):
-            low = x.lower()
-            sign = self.signs.get(low[-1])
-            plan.append((x, low[:-1], sign) if sign and low[:-1].isalpha() else (x, low, b""))
-        stems = {stem for _, stem, _ in plan}.difference(known)
+        # of Latin letters whose lower case is one letter each the tokenizer makes the same as str.lower() does
+        simple = [x for x in new if (x.isascii() or max(x) < "\u0250" and "\u0130" not in x) and "<|" not in x]
+        if len(simple) < len(new):
+            self._learn(list(new.difference(simple)))
+        lows = [x.lower() for x in simple]
+        ended = [(x, y[:-1], signs[y[-1]]) for x, y in zip(simple, lows, strict=True) if y[-1] in signs and y[:-1].isalpha()]
+        done = {x for x, _, _ in ended}
+        whole = [(x, y) for x, y in zip(simple, lows, strict=True) if x not in done]
+        stems = {y for _, y, _ in ended}.union(y for _, y in whole).difference(known)
         if older:
             back = {x: older[x] for x in stems if x in older}
             known.update(back)
             stems.difference_update(back)
         self._learn(list(stems))
-        known.update((x, known[stem] + sign) for x, stem, sign in plan)
+        known.update([(x, known[y]) for x, y in whole if x != y])
+        known.update([(x, known[y] + sign) for x, y, sign in ended])
         return [x for x in new if len(x) > self.longest]
 
     def encode(self, texts) -> list[bytes]:
         """Of a list or an Arrow array of strings without nulls."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's string counts only as it is written
+            texts = pc.ascii_lower(texts)
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         if not len(cut):
             return []
@@ -110,12 +119,9 @@ class WordEncoder:
         found = list(map(self.known.__getitem__, distinct))
         for x in long:
             del self.known[x]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begins = np.cumsum(sizes) - sizes
-        n = sizes[at]
-        stops = np.cumsum(n)
-        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(stops[-1]) + np.repeat(begins[at] - stops + n, n)].tobytes()
-        cuts = 4 * np.concatenate([[0], stops])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        stops = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found))[at])])
+        ids = b"".join(map(found.__getitem__, at.tolist()))
+        cuts = stops[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
