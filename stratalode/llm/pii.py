@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, only, read, slices, small_batches
+from .common import column, only, read, slices, small_batches, stage
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -234,7 +234,8 @@ def fit(docs: DataFrame, b: Boost = Boost()) -> Trees:
     """Learns from the candidates of documents (doc_id, text): those of least hash, at most max_train of them."""
     small_batches(docs.sparkSession)
     rows = only(docs, "doc_id", "text").where("text is not null").mapInArrow(_examples(b), "mark string, label int, x array<double>")
-    rows = rows.orderBy(F.xxhash64("mark"), "mark").limit(b.max_train).collect()
+    # by way of a staged table, so that no task's share of the rows goes to the driver
+    rows = stage(rows.orderBy(F.xxhash64("mark"), "mark").limit(b.max_train), "examples").collect()
     return boost(np.array([r["x"] for r in rows], float).reshape(-1, FEATURES), np.array([r["label"] for r in rows], float), b)
 
 
