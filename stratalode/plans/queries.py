@@ -291,14 +291,15 @@ def tdiff_wards_mdist_2v(spark, sf):
 
 
 @query(
-    f"""with {S}, {LABELS}, {_PER.format('c')}, t as (select id, cluster, (v1 - avg(v1) over ()) / stddev_pop(v1) over () as v1, (v2 - avg(v2) over ()) / stddev_pop(v2) over () as v2 from c),
+    f"""with {S}, c as (select *, domaincode % 3 as cluster from s), {_PER.format('c')},
     p as (select a.id, a.cluster as home, b.cluster as whose, sum(exp(-(i1 * (b.v1 - a.v1) * (b.v1 - a.v1) + i2 * (b.v2 - a.v2) * (b.v2 - a.v2)))) / greatest(1e-10, any_value(sqrt((s1 + 0.001) * (s1 + 0.001) + 2 * k.b * k.b + (s2 + 0.001) * (s2 + 0.001))) * 2 * pi()) as p
-        from t a, t b join k on k.cluster = b.cluster group by a.id, a.cluster, b.cluster),
+        from c a, c b join k on k.cluster = b.cluster group by a.id, a.cluster, b.cluster),
     h as (select id, p from p where home = whose)
     select {R('0.5 * sum(h.p * ln(h.p / nullif(p.p, 0))) / (select count(*) from s)')} as distance from p join h using (id) where home <> whose"""
 )
 def kde_kld_2v(spark, sf):
-    return X.rounded(metrics.kld(X.clustered(spark, sf), V[:2]))
+    rows = X.frame(spark, sf).withColumn("cluster", F.col("domaincode") % 3)
+    return X.rounded(metrics.kld(rows, V[:2], band=0.2))
 
 
 @query(f"with {S}, {LABELS}, w as (select count(*) * (var_pop(v1) + var_pop(v2) + var_pop(v3) + var_pop(v4)) as s from c group by cluster), {rot(PLAIN, 'xy')}, {near(10, 2)}, n as (select i, cluster, count(*) / 10.0::double as p from nn join c on c.id = j group by i, cluster) select format('MV: {{:.2f}}\nSP: {{:.2f}}', (select sum(s) from w), (select -sum(p * ln(p)) from n)) as label")
