@@ -32,9 +32,7 @@ class Near:
     rows: int = 6
     batch: int = 24
     miss: float = 1e-6
-    star_bands: int = 4
-    star_rounds: int = 3
-    per_row: int = 100
+    star_bands: int = 2
     block_rows: int = 4096
 
 
@@ -160,8 +158,9 @@ def _verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, near: Near) -> D
     return left.join(a, "a").join(b, "b").mapInArrow(_exact(near), "a long, b long")
 
 
-def _cross(near: Near):
-    """Rows sorted by (key, low, high): pairs of different components in a group that signatures don't rule out."""
+def _cross(near: Near, top: int):
+    """Rows sorted by (key, low, high): pairs of different components in a group that signatures don't rule out, the top
+    likest of each row; more says that a row had others."""
     size, steps = near.bands * near.rows, least_matches(near)
 
     def pairs(rep, component, block, sig):
@@ -182,13 +181,18 @@ def _cross(near: Near):
                     matches = matches + (sig[a, done:n] == sig[b, done:n]).sum(1)
                     keep = matches >= least
                     a, b, matches, done = a[keep], b[keep], matches[keep], n
-                yield np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+                order = np.lexsort((b, -matches, a))
+                a, b = a[order], b[order]
+                first = np.searchsorted(a, a)
+                rank, more = np.arange(len(a)) - first, np.searchsorted(a, a, "right") - first > top
+                a, b, more = a[rank < top], b[rank < top], more[rank < top]
+                yield np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]), more
 
     def out(rows):
         rep, component, block, sig = (np.concatenate(x) for x in zip(*rows, strict=True))
-        for a, b in pairs(rep, component, block, sig):
+        for a, b, more in pairs(rep, component, block, sig):
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], names=["a", "b", "more"])
 
     def run(batches):
         held, key = [], None
@@ -210,8 +214,8 @@ def _cross(near: Near):
     return run
 
 
-def _across(here: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
-    """Candidate pairs (a, b) of different components in a bucket, from (key, rep, component, size).
+def _across(here: DataFrame, reps: DataFrame, near: Near, top: int) -> DataFrame:
+    """Candidate pairs (a, b, more) of different components in a bucket, from (key, rep, component, size).
 
     A bucket's rows fall into blocks of about block_rows; every two blocks meet in a task, which compares signatures
     and returns only what they don't rule out. So no task holds more than two blocks of a bucket.
@@ -223,17 +227,18 @@ def _across(here: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
     rows = rows.join(reps.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r")).drop("r")
     parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return rows.mapInArrow(_cross(near), "a long, b long").distinct()
+    return rows.mapInArrow(_cross(near, top), "a long, b long, more boolean")
 
 
 def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
     Equal shingle sets become one class first, so large groups of copies cost one signature row in what follows.
-    In the buckets of the first star_bands every class is compared with the bucket's leader. Buckets of all bands whose classes are then still in
-    several components go more rounds with other leaders while that helps and they are large; last, all signatures of
-    different components in a bucket are compared, block against block. So nothing is compared inside a group that
-    already hangs together, and no link that joins two components is lost.
+    In the buckets of the first star_bands every class is compared with the bucket's leader. After that, rounds look at
+    the buckets of all bands whose classes are still in several components: signatures of different components are
+    compared, block against block, and each class's likest ones are verified, 1 of them, then 8, 64, ..., until no class
+    had more. So groups that hang together shrink to one component at once, nothing is compared inside one, pairs stay
+    in proportion to the classes, and no link that joins two components is lost.
 
     A null or blank text has no shingles: it links with nothing and stays. A null doc_id gives a null component and
     stays. Rows with one doc_id are one node: their components are merged, and all of them have the same kept.
@@ -256,28 +261,19 @@ def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     tried = stage(members.where(F.col("band") < near.star_bands).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stage(_verify(tried, reps, sets, near), "verified")
-    before = None
-    for turn in range(near.star_rounds + 1):
+    top = 1
+    while True:
         labels = components(links)
         here = members.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-        here = stage(here.join(mixed, "key"), "mixed")
-        sizes = here.groupBy("key", "component").agg(F.count("*").alias("n"))
-        cost = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own")).agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
-        if not cost["rows"]:
-            break
-        if turn == near.star_rounds or cost["pairs"] <= near.per_row * cost["rows"] or before and cost["pairs"] > 0.8 * before:
-            pairs = stage(_across(here, reps, near).join(tried, ["a", "b"], "left_anti"), "pairs")
-            links = stage(links.unionByName(_verify(pairs, reps, sets, near)), "verified")
-            labels = components(links)
-            break
-        before = cost["pairs"]
-        order = F.xxhash64("rep", F.lit(turn))
-        chosen = here.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("x"), F.col("component").alias("cx"))).alias("l")).select("key", "l.x", "l.cx")
-        pairs = here.join(chosen, "key").where("component <> cx").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-        pairs = stage(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = stage(_across(here.join(mixed, "key"), reps, near, top), "across")
+        pairs = stage(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         links = stage(links.unionByName(_verify(pairs, reps, sets, near)), "verified")
+        if not found.where("more").limit(1).count():
+            labels = components(links)
+            break
+        top *= 8
     of_class = classes.join(labels, F.col("rep") == F.col("id"), "left").select("mark", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "mark").join(of_class, "mark", "left")
     # rows of one doc_id may be in several classes
