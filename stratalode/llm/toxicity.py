@@ -26,10 +26,10 @@ class Weak:
 
     folds: int = 5
     fold: int = 0
-    max_train: int = 8000
-    bits: int = 22
-    voters: int = 24
-    per_voter: int = 6
+    max_train: int = 6000
+    bits: int = 31
+    voters: int = 48
+    per_voter: int = 2
     features: int = 800
     least: int = 4
 
@@ -41,7 +41,7 @@ class Model:
     numbers: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     bias: float = -30.0
-    bits: int = 22
+    bits: int = 31
 
 
 def learns(doc_id: int | None, w: Weak) -> bool:
@@ -102,29 +102,39 @@ def _tree(votes: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return order
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 15) -> np.ndarray:
+def label_model(votes: np.ndarray, prior: float, known: np.ndarray, fresh: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Posterior of the positive label for rows of 0/1 votes, by EM.
 
-    First voters count as independent given the label; then each depends on one other as well, along the tree of the
-    strongest correlations, so voters that say the same thing aren't counted twice. The labels stay hidden: only the
-    prior and the direction (votes speak for the positive label) come from outside.
+    A voter that abstains says nothing by itself (which lexicon a text could meet depends on its language), only that
+    all of them abstain does. First voters count as independent given the label; then each depends on one other as
+    well, along the tree of the strongest correlations, so voters that say the same thing aren't counted twice. known:
+    labels of a small development set, which fixes what a voter is worth; nan where the label stays hidden. fresh: rows
+    that no voter was made of; the others are given a posterior, but what a voter is worth doesn't come from them.
     """
-    hits = votes.sum(1)
-    y = np.where(hits > 0, 1 - 0.5 ** hits, prior * 0.1)
+    shown = ~np.isnan(known)
+    silent = votes.sum(1) == 0
+    y = np.where(shown, known, np.where(silent, 0.1 * prior, 0.5))
     tree = None
+
+    def odds(of, q):
+        """Log of how much likelier rows are under the positive label."""
+        of, q = of[0][of[1]], q[of[1]]
+        p1, p0 = (np.sum(of * q) + 0.1) / (q.sum() + 1), (np.sum(of * (1 - q)) + 0.1) / ((1 - q).sum() + 1)
+        return np.log(p1 / p0)
+
     for round_ in range(rounds):
         if round_ == 5:
-            tree = _tree(votes, y)
+            tree = _tree(votes[fresh], y[fresh])
         share = min(max(y.mean(), 0.2 * prior), 0.95)
         score = np.full(len(y), np.log(share / (1 - share)))
+        score[silent] += min(0.0, odds((silent, fresh), y))
         for j, parent in tree or [(j, -1) for j in range(votes.shape[1])]:
             for state in (0, 1) if parent >= 0 else (None,):
-                rows = slice(None) if state is None else votes[:, parent] == state
-                v, q = votes[rows, j], y[rows]
-                p1, p0 = (np.sum(v * q) + 0.2) / (q.sum() + 1), (np.sum(v * (1 - q)) + 0.01) / ((1 - q).sum() + 1)
-                score[rows] += np.where(v > 0, np.log(p1 / p0), np.log((1 - p1) / (1 - p0)))
+                rows = np.arange(len(y)) if state is None else np.flatnonzero(votes[:, parent] == state)
+                score[rows] += np.where(votes[rows, j] > 0, odds((votes[rows, j], fresh[rows]), y[rows]), 0.0)
         y = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return y
+        posterior, y = y, np.where(shown, known, y)
+    return posterior
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int = 12):
@@ -143,7 +153,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5, rounds: int =
 def fit(docs: DataFrame, labels: DataFrame, w: Weak = Weak()) -> Model:
     """Learns from documents (doc_id, text) and labels (doc_id, toxic).
 
-    Half of the examples give the voters' lexicons: features whose odds speak for toxic, in tiers of falling odds. On
+    Half of the examples give the voters: features whose odds speak for toxic, in tiers of falling odds, and the patterns
+    that are twice as frequent in toxic ones. On
     all examples the label model turns votes into posterior labels, on which the linear classifier is trained; the true
     labels of the other half set its scale and bias. Labels of the held-out fold, null labels and labels without a
     document are never read; a doc_id with several labels counts as toxic if one says so. Without examples of both
@@ -157,43 +168,70 @@ def fit(docs: DataFrame, labels: DataFrame, w: Weak = Weak()) -> Model:
     rows = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_examples(w), "doc_id long, toxic long, found binary, marks binary")
     rows = rows.orderBy(F.xxhash64("doc_id"), "found").limit(w.max_train).collect()
     y = np.array([r["toxic"] for r in rows], float)
+    marks = np.array([np.frombuffer(r["marks"], bool) for r in rows], float)
+    return learn(y, [np.frombuffer(r["found"], np.int32) for r in rows], marks, w)
+
+
+def learn(y: np.ndarray, found: list[np.ndarray], marks: np.ndarray, w: Weak) -> Model:
+    """The model from examples: labels, distinct feature numbers of each, pattern votes."""
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(bias=float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))), bits=w.bits)
-    found = [np.frombuffer(r["found"], np.int32) for r in rows]
+    # features of three examples or more, numbered anew; the others can't be told from chance
+    sizes = np.array([len(x) for x in found])
+    every = np.concatenate(found)
+    values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
+    del every
+    often = counts >= 3
+    values, new = values[often].astype(np.int64), np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+    inverse = new[inverse]
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    found = [inverse[a:b][inverse[a:b] >= 0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    del inverse
     half = np.arange(len(y)) % 2 == 0
-    size = 1 << w.bits
+    size = len(values)
 
     def odds(weight: np.ndarray, use: np.ndarray):
-        """Log odds ratio of each feature number between weighted positive and negative rows, and its positive count."""
+        """Of each feature: the log odds ratio between weighted positive and negative rows, positive and other counts."""
         pick = np.flatnonzero(use)
         at = np.concatenate([found[i] for i in pick])
-        per = np.repeat(weight[pick], [len(found[i]) for i in pick])
-        yes, both = np.bincount(at, per, size), np.bincount(at, minlength=size)
+        yes = np.bincount(at, np.repeat(weight[pick], [len(found[i]) for i in pick]), size)
+        no = np.bincount(at, minlength=size) - yes
         n1, n0 = weight[pick].sum(), (1 - weight[pick]).sum()
-        return np.log((yes + 0.2) / (n1 - yes + 0.2)) - np.log((both - yes + 0.2) / (n0 - both + yes + 0.2)), yes
+        return np.log((yes + 0.2) / (n1 - yes + 0.2)) - np.log((no + 0.2) / (n0 - no + 0.2)), yes, no
 
-    ratio, yes = odds(y, half)
-    no = np.bincount(np.concatenate([found[i] for i in np.flatnonzero(half)]), minlength=size) - yes
+    ratio, yes, no = odds(y, half)
     sure = ratio - np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))  # the odds less their standard error
-    lexicon = np.flatnonzero((yes >= 3) & (sure > 2.5))
+    # a feature must speak more clearly than the luckiest of as many features would by chance
+    share, both = y[half].mean(), np.maximum(yes + no, 1)
+    surprise = yes * np.log(np.maximum(yes, 1e-9) / both / share) + no * np.log(np.maximum(no, 1e-9) / both / (1 - share))
+    lexicon = np.flatnonzero((yes >= 3) & (sure > 2) & (surprise > np.log(max(size, 2))))
+    # a word and its beginnings often mark the same examples: one of them is enough for a voter
+    print_of = np.random.RandomState(7).rand(len(y))
+    prints = np.bincount(np.concatenate(found), np.repeat(print_of, [len(x) for x in found]), size)
+    lexicon = lexicon[np.sort(np.unique(prints[lexicon].round(9), return_index=True)[1])]
     lexicon = lexicon[np.argsort(-sure[lexicon], kind="stable")][: w.voters * w.per_voter]
     voter = np.full(size, -1, np.int64)
     voter[lexicon] = np.arange(len(lexicon)) // w.per_voter
     count = max(1, -(-len(lexicon) // w.per_voter))
-    marks = np.array([np.frombuffer(r["marks"], bool) for r in rows], float)
     votes = np.zeros((len(y), count))
     for i, own in enumerate(found):
         hit = voter[own]
         votes[i, hit[hit >= 0]] = 1
-    votes = np.concatenate([votes, marks], 1)
-    posterior = label_model(votes, float(y[half].mean()))
-    ratio, yes = odds(posterior, np.ones(len(y), bool))
+    # pattern voters that the same half speaks for
+    yes, both = marks[half].T @ y[half], marks[half].sum(0)
+    rate = (yes + 0.5) / (both + 1) / max(y[half].mean(), 1e-9)
+    votes = np.concatenate([votes, marks[:, (both >= 3) & (rate > 2)]], 1)
+    posterior = label_model(votes, float(y[half].mean()), np.where(np.arange(len(y)) % 4 == 1, y, np.nan), ~half)
+    ratio, yes, _ = odds(posterior, np.ones(len(y), bool))
     strong = np.flatnonzero(yes >= w.least / 2)
-    numbers = np.sort(strong[np.argsort(-(ratio * np.sqrt(yes))[strong], kind="stable")][: w.features])
-    x = np.zeros((len(y), len(numbers)), np.float32)
+    strong = np.sort(strong[np.argsort(-(ratio * np.sqrt(yes))[strong], kind="stable")][: w.features])
+    place = np.full(size, -1)
+    place[strong] = np.arange(len(strong))
+    x = np.zeros((len(y), len(strong)), np.float32)
     for i, own in enumerate(found):
-        x[i, np.searchsorted(numbers, own[np.isin(own, numbers)])] = 1
+        x[i, place[own][place[own] >= 0]] = 1
+    numbers = values[strong]
     weights, bias = _logistic(x, posterior)
     z = x @ weights + bias
     scale, shift = 1.0, 0.0
