@@ -61,6 +61,15 @@ def squared_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    return F.sqrt(squared_distance(a, b))
+
+
+def anisotropic_distance(search: Search, a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Distance after both places are rotated and scaled."""
+    return distance(rotated(search, a), rotated(search, b))
+
+
 def idw(d2: Column, regularise: float = 2.0, least: float = 1e-7) -> Column:
     """Inverse-distance weight before normalising: 1 / (regularise + max(d, least) ** 2)."""
     return 1.0 / (F.lit(regularise) + F.pow(F.greatest(F.sqrt(d2), F.lit(least)), F.lit(2.0)))

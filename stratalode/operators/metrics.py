@@ -165,3 +165,14 @@ def cluster_metrics(samples, labels: DataFrame, k: int, search: Search, metric:
 
 def stats_text(frame: DataFrame, mv: str = "mv", sp: str = "sp") -> Column:
     return F.format_string("MV: %.2f\nSP: %.2f", F.col(mv), F.col(sp))
+
+
+def cluster_metrics_single(samples, labels: DataFrame, k: int, search: Search, metric: str | Callable = "wcss", seed: int = 69069) -> DataFrame:
+    """One row (mv, sp) for one labelling (id, cluster), both over their values for permuted labels."""
+    return cluster_metrics(samples, labels.select(F.lit(0).cast("long").alias("real"), "id", "cluster"), k, search, metric, seed).select("mv", "sp")
+
+
+def label_stats(samples, labels: DataFrame, k: int, search: Search, metric: str | Callable = "wcss", seed: int = 69069) -> DataFrame:
+    """One row (mv, sp, label): the two metrics of a labelling, and the text that annotates a map with them."""
+    found = cluster_metrics_single(samples, labels, k, search, metric, seed)
+    return found.withColumn("label", stats_text(found))

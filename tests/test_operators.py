@@ -296,3 +296,26 @@ def test_registry_without_training_data_operators():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_linkages_split_clear_groups():
+    x = np.concatenate([np.random.RandomState(0).randn(10, 2) + 20 * c for c in range(3)])
+    for method in ("ward", "average", "complete", "single"):
+        got = kernels.linkage_labels(x, 3, method)
+        assert len(set(got)) == 3 and all(len(set(got[10 * c : 10 * c + 10])) == 1 for c in range(3))
+
+
+def test_history_of_the_fold(spark):
+    base = spark.createDataFrame([(i, i % 2) for i in range(6)], "id long, base long")
+    row = [i % 2 for i in range(6)]
+    got = pairings.cumulative(labelled(spark, row, [0, 0, 1, 1, 0, 1]), base, history=True).collect()
+    assert {r["step"] for r in got} == {0, 1, 2}
+    for step in (0, 1, 2):
+        for i in range(6):
+            assert abs(sum(r["u"] for r in got if r["step"] == step and r["id"] == i) - 1) < 1e-12
+
+
+def test_label_stats(spark):
+    s = samples(spark)
+    row = metrics.label_stats(s, s.frame.select("id", F.col("code").alias("cluster")), 5, Search()).first()
+    assert 0 < row["mv"] < 1 and row["label"] == f"MV: {row['mv']:.2f}\nSP: {row['sp']:.2f}"
