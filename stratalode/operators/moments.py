@@ -56,22 +56,25 @@ def standardise(frame: DataFrame, variables: Sequence[str], floor: float | None
 def normal_score(frame: DataFrame, variables: Sequence[str], id: str = "id") -> DataFrame:
     """The frame with each variable replaced by the standard normal quantile of (rank - 0.5) / n; ties rank by id.
 
-    Ranks come from a range partitioning and counts of the ranges before, so no task sorts a whole column.
+    All variables go through one range partitioning by variable, value and id; ranks are counted within a range and added
+    to the counts of the ranges before, so no task sorts a whole column and columns don't shuffle one by one.
     """
-    spark = frame.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = frame.count()
-    out = frame
-    for c in variables:
-        rows = frame.select(F.col(id).alias("_id"), F.col(c).alias("_v")).repartitionByRange(parts, "_v", "_id").withColumn("_part", F.spark_partition_id())
-        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_v", "_id")))
-        # which range a row falls in must not change between the two uses of it
-        rows = rows.persist()
-        sizes = rows.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        rank = rows.join(F.broadcast(sizes.select("_part", "_before")), "_part")  # as many rows as partitions
-        score = inverse_normal((F.col("_rank") + F.col("_before") - 0.5) / F.lit(float(max(n, 1))))
-        out = out.join(rank.select(F.col("_id").alias(id), score.alias(f"_score_{c}")), id)
-    return out.select(*(F.col(f"_score_{c}").alias(c) if c in variables else F.col(c) for c in frame.columns))
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = F.inline(F.array(*(F.struct(F.lit(n).alias("_c"), F.col(c).cast("double").alias("_v")) for n, c in enumerate(variables))))
+    rows = frame.select(F.col(id).alias("_id"), cells).repartitionByRange(parts, "_c", "_v", "_id").withColumn("_part", F.spark_partition_id())
+    # which range a row falls in must not change between the two uses of it
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", "_c").orderBy("_v", "_id"))).persist()
+    sizes = rows.groupBy("_c", "_part").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("_c").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_c", "_part", F.coalesce(ahead, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_c")).alias("_all"))
+    found = rows.join(F.broadcast(sizes), ["_c", "_part"])  # a row per partition and variable
+    found = found.select("_id", "_c", inverse_normal((F.col("_rank") + F.col("_before") - 0.5) / F.col("_all").cast("double")).alias("_z"))
+    wide = found.groupBy("_id").agg(*(F.max(F.when(F.col("_c") == n, F.col("_z"))).alias(f"_z{n}") for n in range(len(variables))))
+    place = {c: f"_z{n}" for n, c in enumerate(variables)}
+    others = [c for c in frame.columns if c not in place and c != id]
+    if others:
+        wide = frame.select(F.col(id).alias("_id"), *others).join(wide, "_id")
+    return wide.select(*(F.col(place[c]).alias(c) if c in place else F.col("_id").alias(c) if c == id else F.col(c) for c in frame.columns))
 
 
 def density(frame: DataFrame, variables: Sequence[str], band: float = -1.0, tiny: float = 1e-10, id: str = "id") -> DataFrame:
