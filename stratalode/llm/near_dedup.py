@@ -33,7 +33,7 @@ class Near:
     batch: int = 24
     miss: float = 1e-6
     star_bands: int = 2
-    block_rows: int = 4096
+    block_rows: int = 2048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -132,17 +132,20 @@ def _sets(near: Near):
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, near: Near) -> bool:
+    """Whether two sorted distinct sets link."""
+    if 100 * min(len(x), len(y)) < near.percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= near.percent * (len(x) + len(y) - both)
+
+
 def _exact(near: Near):
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(column(batch, "set_a"), column(batch, "set_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if 100 * min(len(x), len(y)) < near.percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= near.percent * (len(x) + len(y) - both))
+                keep.append(_similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), near))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -158,87 +161,149 @@ def _verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, near: Near) -> D
     return left.join(a, "a").join(b, "b").mapInArrow(_exact(near), "a long, b long")
 
 
-def _cross(near: Near, top: int):
-    """Rows sorted by (key, low, high): pairs of different components in a group that signatures don't rule out, the top
-    likest of each row; more says that a row had others."""
-    size, steps = near.bands * near.rows, least_matches(near)
-
-    def pairs(rep, component, block, sig):
-        _, component, counts = np.unique(component, return_inverse=True, return_counts=True)
-        order = np.lexsort((component, counts[component]))  # the largest component comes last: it is only compared with
-        rep, component, block, sig = rep[order], component[order], block[order], sig[order]
-        heads = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
-        for low, high in zip(heads, heads[1:], strict=False):
-            step = max(1, (1 << 23) // (near.batch * (len(rep) - high)))
-            for at in range(low, high, step):
-                own = sig[at : min(high, at + step)]
-                a, b = np.nonzero((own[:, None, : near.batch] == sig[None, high:, : near.batch]).sum(2, dtype=np.uint8) >= steps[0][1])
-                a, b = a + at, b + high
-                if block[0] != block[-1] or (block != block[0]).any():
-                    a, b = a[block[a] != block[b]], b[block[a] != block[b]]
-                matches, done = (sig[a, : near.batch] == sig[b, : near.batch]).sum(1), near.batch
-                for n, least in steps[1:]:
-                    matches = matches + (sig[a, done:n] == sig[b, done:n]).sum(1)
-                    keep = matches >= least
-                    a, b, matches, done = a[keep], b[keep], matches[keep], n
-                order = np.lexsort((b, -matches, a))
-                a, b = a[order], b[order]
-                first = np.searchsorted(a, a)
-                rank, more = np.arange(len(a)) - first, np.searchsorted(a, a, "right") - first > top
-                a, b, more = a[rank < top], b[rank < top], more[rank < top]
-                yield np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]), more
-
-    def out(rows):
-        rep, component, block, sig = (np.concatenate(x) for x in zip(*rows, strict=True))
-        for a, b, more in pairs(rep, component, block, sig):
+def _unlinked(group: dict, near: Near, steps: list):
+    """Index pairs (a, b, matches) of different components in a group that signatures don't rule out, each in the first
+    band that the two share only. The largest component comes last, so its rows are never paired with one another."""
+    component, block, sig = group["component"], group["block"], group["sig"]
+    heads = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
+    apart = (block != block[0]).any()
+    for low, high in zip(heads, heads[1:], strict=False):
+        step = max(1, (1 << 23) // (near.batch * (len(sig) - high)))
+        for at in range(low, high, step):
+            own = sig[at : min(high, at + step)]
+            a, b = np.nonzero((own[:, None, : near.batch] == sig[None, high:, : near.batch]).sum(2, dtype=np.uint8) >= steps[0][1])
+            a, b = a + at, b + high
+            if apart:
+                a, b = a[block[a] != block[b]], b[block[a] != block[b]]
+            matches, done = (sig[a, : near.batch] == sig[b, : near.batch]).sum(1), near.batch
+            for n, least in steps[1:]:
+                matches = matches + (sig[a, done:n] == sig[b, done:n]).sum(1)
+                keep = matches >= least
+                a, b, matches, done = a[keep], b[keep], matches[keep], n
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], names=["a", "b", "more"])
+                same = (sig[a] == sig[b]).reshape(len(a), near.bands, near.rows).all(2)
+                first = same.argmax(1) == group["band"]
+                yield a[first], b[first], matches[first]
+
+
+def _groups(batches, near: Near, with_sets: bool):
+    """Rows sorted by (key, low, high) as groups of arrays, ordered so that the largest component is last."""
+    size = near.bands * near.rows
+
+    def close(held):
+        out = {name: np.concatenate([h[name] for h in held]) for name in held[0] if name != "sets"}
+        _, code, counts = np.unique(out["component"], return_inverse=True, return_counts=True)
+        order = np.lexsort((code, counts[code]))
+        if with_sets:
+            every = [x for h in held for x in h["sets"]]
+            out["sets"] = [every[i] for i in order.tolist()]
+        out = {name: v if name == "sets" else v[order] for name, v in out.items()}
+        out["band"] = out["band"][0]
+        return out
+
+    held, key = [], None
+    for batch in batches:
+        names = ("key", "low", "high", "band", "rep", "component", "block")
+        columns = {c: column(batch, c).to_numpy() for c in names}
+        columns["sig"] = rows_from(column(batch, "sig"), np.uint16, size)
+        keys = np.stack([columns[c] for c in ("key", "low", "high")], 1)
+        sets = column(batch, "found").to_pylist() if with_sets else None
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y == x:
+                continue
+            if held and tuple(keys[x]) != key:
+                yield close(held)
+                held = []
+            key = tuple(keys[x])
+            held.append({c: v[x:y] for c, v in columns.items()} | ({"sets": sets[x:y]} if with_sets else {}))
+    if held:
+        yield close(held)
+
+
+_GROUP = "key long, low long, high long, band int, rep long, component long, block long"
+
+
+def _candidates(near: Near):
+    """The rows of groups that are in a pair which signatures don't rule out."""
+    steps = least_matches(near)
 
     def run(batches):
-        held, key = [], None
-        for batch in batches:
-            keys = np.stack([column(batch, c).to_numpy() for c in ("key", "low", "high")], 1)
-            columns = [column(batch, c).to_numpy() for c in ("rep", "component", "block")] + [rows_from(column(batch, "sig"), np.uint16, size)]
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if y == x:
-                    continue
-                if held and tuple(keys[x]) != key:
-                    yield from out(held)
-                    held = []
-                key = tuple(keys[x])
-                held.append([c[x:y] for c in columns])
-        if held:
-            yield from out(held)
+        for group in _groups(batches, near, False):
+            hit = np.zeros(len(group["rep"]), bool)
+            for a, b, _ in _unlinked(group, near, steps):
+                hit[a] = hit[b] = True
+            if hit.any():
+                n = int(hit.sum())
+                columns = {"band": np.full(n, group["band"], np.int32)} | {c: group[c][hit] for c in ("key", "low", "high", "rep", "component", "block")}
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.split()[0]]) for f in _GROUP.split(", ")], names=[f.split()[0] for f in _GROUP.split(", ")])
 
     return run
 
 
-def _across(here: DataFrame, reps: DataFrame, near: Near, top: int) -> DataFrame:
-    """Candidate pairs (a, b, more) of different components in a bucket, from (key, rep, component, size).
+def _verified(near: Near):
+    """Links (a, b) of different components in a group, by full sets, the likeliest pairs first; a pair that links found
+    before join already is not looked at, so the links of a group are fewer than its rows."""
+    steps = least_matches(near)
 
-    A bucket's rows fall into blocks of about block_rows; every two blocks meet in a task, which compares signatures
-    and returns only what they don't rule out. So no task holds more than two blocks of a bucket.
+    def run(batches):
+        for group in _groups(batches, near, True):
+            parts = list(_unlinked(group, near, steps))
+            if not parts:
+                continue
+            a, b, matches = (np.concatenate(x) for x in zip(*parts, strict=True))
+            sets = [np.frombuffer(x, np.uint64) for x in group["sets"]]
+            _, top = np.unique(group["component"], return_inverse=True)
+            top, own = list(range(int(top.max()) + 1)), top.tolist()
+
+            def find(x, top=top):
+                while top[x] != x:
+                    top[x] = x = top[top[x]]
+                return x
+
+            out = []
+            for i in np.argsort(-matches, kind="stable").tolist():
+                x, y = int(a[i]), int(b[i])
+                u, v = find(own[x]), find(own[y])
+                if u != v and _similar(sets[x], sets[y], near):
+                    top[v] = u
+                    out.append(sorted((int(group["rep"][x]), int(group["rep"][y]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _across(here: DataFrame, reps: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) that join different components of a bucket, from (key, band, rep, component, size).
+
+    A bucket's rows fall into blocks of about block_rows; every two blocks meet in a task, so no task holds more than
+    two blocks of a bucket. Signatures go first; full sets travel only for rows that some pair is left of.
     """
     blocks = F.ceil(F.col("size") / near.block_rows)
     rows = here.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "component", "block")
-    rows = rows.join(reps.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r")).drop("r")
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "rep", "component", "block")
     parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return rows.mapInArrow(_cross(near, top), "a long, b long, more boolean")
+    sig = reps.select(F.col("rep").alias("r"), "sig")
+
+    def dealt(frame):
+        return frame.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    left = stage(dealt(rows.join(sig, F.col("rep") == F.col("r")).drop("r")).mapInArrow(_candidates(near), _GROUP), "candidates")
+    full = left.join(sig, F.col("rep") == F.col("r")).drop("r").join(sets.select(F.col("id").alias("r"), "found"), F.col("rep") == F.col("r")).drop("r")
+    return dealt(full).mapInArrow(_verified(near), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
     Equal shingle sets become one class first, so large groups of copies cost one signature row in what follows.
-    In the buckets of the first star_bands every class is compared with the bucket's leader. After that, rounds look at
-    the buckets of all bands whose classes are still in several components: signatures of different components are
-    compared, block against block, and each class's likest ones are verified, 1 of them, then 8, 64, ..., until no class
-    had more. So groups that hang together shrink to one component at once, nothing is compared inside one, pairs stay
-    in proportion to the classes, and no link that joins two components is lost.
+    In the buckets of the first star_bands every class is compared with the bucket's leader, which makes most groups one
+    component. Then the buckets of all bands whose classes are still in several components are looked at: signatures of
+    different components are compared, block against block, each pair in the first band it shares, and what they don't
+    rule out is verified by full sets in the task, the likeliest first, until the group hangs together. So nothing is
+    compared inside a component, no pair is ever a row, and no link that joins two components is lost.
 
     A null or blank text has no shingles: it links with nothing and stays. A null doc_id gives a null component and
     stays. Rows with one doc_id are one node: their components are merged, and all of them have the same kept.
@@ -261,19 +326,11 @@ def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     tried = stage(members.where(F.col("band") < near.star_bands).where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stage(_verify(tried, reps, sets, near), "verified")
-    top = 1
-    while True:
-        labels = components(links)
-        here = members.join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-        found = stage(_across(here.join(mixed, "key"), reps, near, top), "across")
-        pairs = stage(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        links = stage(links.unionByName(_verify(pairs, reps, sets, near)), "verified")
-        if not found.where("more").limit(1).count():
-            labels = components(links)
-            break
-        top *= 8
+    labels = components(links)
+    here = members.join(labels, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    links = stage(links.unionByName(_across(here.join(mixed, "key"), reps, sets, near)), "verified")
+    labels = components(links)
     of_class = classes.join(labels, F.col("rep") == F.col("id"), "left").select("mark", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "mark").join(of_class, "mark", "left")
     # rows of one doc_id may be in several classes

@@ -53,7 +53,7 @@ def docs(spark, sf_dir):
 def test_near_dedup_by_small_blocks_and_rounds(docs):
     want = sorted(near_dedup.near_dedup(docs).select("doc_id", "component_id").collect())
     assert 1 < len({c for d, c in want if 100_000 <= d < 100_060}) < 60  # some hang together, some do not
-    for near in (near_dedup.Near(block_rows=3), near_dedup.Near(star_bands=0)):
+    for near in (near_dedup.Near(block_rows=3), near_dedup.Near(star_bands=0), near_dedup.Near(star_bands=40)):
         assert sorted(near_dedup.near_dedup(docs, near).select("doc_id", "component_id").collect()) == want
 
 
