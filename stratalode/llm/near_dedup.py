@@ -168,7 +168,7 @@ def _unlinked(group: dict, near: Near, steps: list):
     heads = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1]]))
     apart = (block != block[0]).any()
     for low, high in zip(heads, heads[1:], strict=False):
-        step = max(1, (1 << 23) // (near.batch * (len(sig) - high)))
+        step = max(1, (1 << 21) // (near.batch * (len(sig) - high)))
         for at in range(low, high, step):
             own = sig[at : min(high, at + step)]
             a, b = np.nonzero((own[:, None, : near.batch] == sig[None, high:, : near.batch]).sum(2, dtype=np.uint8) >= steps[0][1])
