@@ -84,7 +84,7 @@ def assignment(gain: np.ndarray) -> list[int]:
 
 
 def _best(score: str, largest: bool):
-    def run(key, table: pd.DataFrame) -> pd.DataFrame:
+    def run(key, table):
         rows, columns = sorted(table["cluster"].unique()), sorted(table["base"].unique())
         if len(rows) != len(columns):
             raise ValueError(f"realisation {key}: {len(rows)} clusters against {len(columns)}")
@@ -135,7 +135,7 @@ def pairwise_similarity(labels: DataFrame) -> DataFrame:
     return found.join(size, "real").select("real", "real2", (F.col("total") / F.col("all")).alias("similarity"))
 
 
-def _two(key, table: pd.DataFrame) -> pd.DataFrame:
+def _two(key, table):
     full = table.pivot_table(index="cluster", columns="base", values="n", fill_value=0.0).to_numpy(float)
     if full.shape[0] != full.shape[1]:
         raise ValueError(f"realisations {key}: numbers of clusters differ")
