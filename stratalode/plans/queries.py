@@ -137,11 +137,17 @@ def local_morans(spark, sf):
     from nn join s z on z.id = i join s n on n.id = j where i <> j and z.v1 + z.v2 + z.v3 + z.v4 > 0.001 group by i"""
 )
 def local_getis(spark, sf):
-    # tiny denominators of samples whose variables sum to nothing are left to the tests
+    # the rows of the given SQL, which are not all: local_getis_all has every sample
     rows = X.frame(spark, sf).where("v1 + v2 + v3 + v4 > 0.001").select("id")
     return X.rounded(autocorr.local_autocorr(X.samples(spark, sf), "getis", 10, ANISO).join(rows, "id"), 3)
 
 
+@query()
+def local_getis_all(spark, sf):
+    """Every sample; those whose variables sum to 1e-10 or less have that as their sum."""
+    return autocorr.local_autocorr(X.samples(spark, sf), "getis", 10, ANISO)
+
+
 _pairs = "from nn join y z on z.id = i join y n on n.id = j"
 _w = f"nn as (select i, j, {IDW} / sum({IDW}) over (partition by i) as w from near)"
 

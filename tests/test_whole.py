@@ -1,0 +1,19 @@
+"""Queries over the whole table, against brute force."""
+
+import numpy as np
+
+from stratalode.plans import fixtures as X
+from stratalode.plans import registry
+
+
+def test_local_getis_of_every_sample(spark, sf_dir):
+    rows = X.frame(spark, sf_dir).orderBy("id").toPandas()
+    values = rows[list(X.V)].to_numpy()
+    places = np.c_[rows[["x", "y"]].to_numpy(), np.zeros(len(rows))] @ np.array(X.ANISO.matrix()).T
+    got = registry.QUERIES["local_getis_all"](spark, sf_dir).orderBy("id").toPandas()
+    assert got["id"].tolist() == rows["id"].tolist()
+    assert (values.sum(1) <= 0.001).sum() > len(rows) / 3
+    for i in range(len(rows)):
+        near = np.argsort(((places - places[i]) ** 2).sum(1), kind="stable")[:10]
+        want = values[near[near != i]].mean(0) / max(1e-10, values[i].sum())
+        assert np.allclose(got.iloc[i][[f"a_{v}" for v in X.V]].to_numpy(float), want, rtol=1e-6, atol=1e-9)
