@@ -574,9 +574,10 @@ def ssdssensemble(spark, sf):
 
 @query()
 def krigecluster(spark, sf):
-    few = Samples(X.frame(spark, sf).where("id < 200").withColumn("domaincode", F.col("domaincode") % 2), ("x", "y"), V[:2])
-    models = {(c, v): C.Variogram(0.1, (C.Structure(C.SPHERICAL, 0.9, 0.8),)) for c in (0, 1) for v in (0, 1)}
-    return ensembles.KrigingPath(few, nreal=2, models=models, most_near=8, path_search=Search(0, 0, 0, 100, 100, 100)).fit().labels
+    every = X.samples(spark, sf)
+    codes = [r[0] for r in every.frame.select("domaincode").distinct().collect()]
+    models = {(c, v): C.Variogram(0.1, (C.Structure(C.SPHERICAL, 0.9, 0.8),)) for c in codes for v in range(len(V))}
+    return ensembles.KrigingPath(every, nreal=2, models=models, most_near=8, path_search=Search(0, 0, 0, 100, 100, 100)).fit().labels
 
 
 @query()

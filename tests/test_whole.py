@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from stratalode.operators import ensembles
 from stratalode.plans import fixtures as X
 from stratalode.plans import registry
 
@@ -17,3 +18,37 @@ def test_local_getis_of_every_sample(spark, sf_dir):
         near = np.argsort(((places - places[i]) ** 2).sum(1), kind="stable")[:10]
         want = values[near[near != i]].mean(0) / max(1e-10, values[i].sum())
         assert np.allclose(got.iloc[i][[f"a_{v}" for v in X.V]].to_numpy(float), want, rtol=1e-6, atol=1e-9)
+
+
+def test_krigecluster_of_every_sample_code_and_variable(spark, tmp_path):
+    rng = np.random.RandomState(5)
+    ids, codes = np.arange(170, 230), np.array([0, 3, 9])[rng.randint(3, size=60)]
+    vectors = rng.randn(60, 7)
+    vectors[:, 2:6] += codes[:, None] % 4
+    rows = [(int(i), list(map(float, e)), int(c)) for i, e, c in zip(ids, vectors, codes, strict=True)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["real"], r["id"]): r["cluster"] for r in registry.QUERIES["krigecluster"](spark, str(tmp_path)).collect()}
+
+    def cov(a, b):
+        h = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) / 0.8
+        return 0.9 * np.where(h > 1, 0, 1 - 1.5 * h + 0.5 * h**3)
+
+    places, values, want = vectors[:, :2], vectors[:, 2:6], {}
+    for real, seed in enumerate(ensembles.seeds(2, 69069)):
+        now = codes.copy()
+        for i in np.random.RandomState(seed).permutation(60):
+            errors = []
+            for c in (0, 3, 9):
+                own = np.flatnonzero(now == c)
+                own = own[np.argsort(((places[own] - places[i]) ** 2).sum(1))][:8]
+                own = own[own != i]
+                k = np.ones((len(own) + 1,) * 2)
+                k[:-1, :-1] = cov(places[own], places[own])
+                np.fill_diagonal(k, 1.0)
+                k[-1, -1] = 0
+                w = np.linalg.solve(k, np.append(cov(places[own], places[i : i + 1])[:, 0], 1))[:-1] if len(own) > 2 else np.zeros(len(own))
+                estimate = w @ values[own]
+                errors.append(np.abs((estimate - values[i]) / np.maximum(1e-5, estimate)).mean() if (now == c).any() else np.inf)
+            now[i] = (0, 3, 9)[int(np.argmin(errors))]
+        want |= {(real, int(i)): int(c) for i, c in zip(ids, now, strict=True)}
+    assert got == want
