@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import re
 from dataclasses import dataclass, field
@@ -20,15 +21,21 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Texts without any of these characters hold no base span and no candidate.
-_SIGNS = re.compile(r"[0-9@]")
+_SIGNS = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _GENERATORS = (
-    ("email", re.compile(r"[\w.%+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]+)+")),
-    ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w.])")),
+    ("email", re.compile(r"[\w.%+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:(?:(?:\.|\s?(?:\(dot\)|\[dot\])\s?)[\w-]+)+|(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]+)+)")),
+    ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w.])")),
     ("card", re.compile(r"(?<![\w])[0-9]{4}(?:[ .-]?[0-9]{3,6}){2,4}(?!\w)")),
     ("phone", re.compile(r"(?<![\w])[(+]?[0-9][0-9 ()./-]{5,22}[0-9](?!\w)")),
     ("secret", re.compile(r"(?<=[=:])\s?[\"']?[\w+/=-]{8,200}|(?<!\w)[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]{11,200}(?!\w)")),
 )
 _CUES = tuple(re.compile(x) for x in (r"mail|contact", r"\bip\b|host|server|addr", r"card|visa|credit|account|iban", r"tel|phone|call|mobile|fax|whats", r"pass|pwd|secret|token|key|auth|bearer", r"[=:]\s?[\"']?\Z"))
+_HIDDEN_AT, _HIDDEN_DOT = re.compile(r"\s?(?:\(at\)|\[at\])\s?"), re.compile(r"\s?(?:\(dot\)|\[dot\])\s?")
+_MAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
+_CALLED = re.compile(r"\b(?:tel|telephone|phone|call|mobile|fax|whatsapp)\b[^\w]{0,4}(?:(?:me|us|at|on|is|number|no)\b[^\w]{0,4}){0,2}\Z")
+_PAID = re.compile(r"\b(?:card|visa|mastercard|amex|credit)\b")
+_HOST = re.compile(r"\b(?:ip|ipv6|host|server|addr|address)\b")
+_DATE = re.compile(r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4}")
 
 
 @dataclass(frozen=True)
@@ -122,11 +129,35 @@ def describe(text: str, start: int, kind: int, end: int, context: int) -> list[f
     ]
 
 
+def evident(text: str, start: int, kind: int, end: int) -> bool:
+    """Evidence of a candidate that needs no base span: an email address once signs are put for (at) and (dot), an IPv6
+    address that parses (with few groups, after a word for a host), digits that pass the checksum of a card in four
+    groups or after a word for a card, a number that a word for a telephone leads to."""
+    s = text[start:end]
+    if kind == 0:
+        plain = _HIDDEN_DOT.sub(".", _HIDDEN_AT.sub("@", s))
+        return plain != s and bool(_MAIL.fullmatch(plain))
+    if kind == 1:
+        if ":" not in s:
+            return False
+        try:
+            ipaddress.IPv6Address(s)
+        except ValueError:
+            return False
+        return any(map(str.isdigit, s)) and (s.count(":") > 3 or bool(_HOST.search(text[max(0, start - 24) : start].lower())))
+    digits = re.sub(r"[^0-9]", "", s)
+    if kind == 2:
+        if not (13 <= len(digits) <= 19 and luhn(digits)):
+            return False
+        return bool(re.fullmatch(r"[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", s) or _PAID.search(text[max(0, start - 24) : start].lower()))
+    return kind == 3 and 7 <= len(digits) <= 15 and not _DATE.fullmatch(s) and bool(_CALLED.search(text[max(0, start - 32) : start].lower()))
+
+
 def _weak_label(text: str, start: int, kind: int, end: int, base: list) -> int:
-    """1: a base span of the kind lies in it, or a keyword assigns it as a secret; 0: it fails what its kind must pass."""
+    """1: a base span of the kind lies in it, it is evident, or a keyword assigns it as a secret; 0: none of these."""
     if kind == 4:
         return int(bool(_CUES[4].search(text[max(0, start - 24) : start].lower())) and any(map(str.isdigit, text[start:end])))
-    return int(any(k == kind and a >= start and b <= end for a, k, b in base))
+    return int(any(k == kind and a >= start and b <= end for a, k, b in base) or evident(text, start, kind, end))
 
 
 def _examples(b: Boost):
@@ -240,16 +271,18 @@ def fit(docs: DataFrame, b: Boost = Boost()) -> Trees:
 
 
 def spans(text: str, model: Trees, context: int, found: list | None = None, chance=None) -> tuple[list, list]:
-    """(base spans, all spans) of a text: base ones stay, and likely candidates that overlap nothing chosen are added."""
+    """(base spans, all spans) of a text: base ones stay; then evident candidates, then likely ones, are added that
+    overlap nothing chosen."""
     base = base_spans(text)
     found = candidates(text) if found is None else found
     if not found:
         return base, base
     chance = model.chance(np.array([describe(text, *x, context) for x in found])) if chance is None else chance
     every, taken = list(base), [(a, e) for a, _, e in base]
-    for i in np.argsort(-chance, kind="stable").tolist():
+    sure = np.array([evident(text, *x) for x in found])
+    for i in np.lexsort((-chance, ~sure)).tolist():
         a, kind, e = found[i]
-        if chance[i] >= model.limits[kind] and all(e <= x or a >= y for x, y in taken):
+        if (sure[i] or chance[i] >= model.limits[kind]) and all(e <= x or a >= y for x, y in taken):
             every.append((a, kind, e))
             taken.append((a, e))
     return base, sorted(every)
