@@ -1,4 +1,5 @@
-"""A hierarchical Pitman-Yor language model: words over restaurants of the bytes they are spelt with."""
+"""A hierarchical Pitman-Yor language model: a restaurant for each word before, over one of words, over restaurants of
+the bytes they are spelt with."""
 
 from __future__ import annotations
 
@@ -16,13 +17,16 @@ from . import text as T
 from .common import column, drop_path, new_path, only, read, release, slices, small_batches, stage, text_buffers
 
 END = b"\n"  # the end of a text as a word: no word holds white space
+END_HASH = T.hash_words(np.frombuffer(END, np.uint8), np.zeros(1, np.int64), np.ones(1, np.int64))[0]
+BEGIN_HASH = T.mix(np.array([258], np.uint64))[0]  # the beginning of a text, as a word before only
 
 
 @dataclass(frozen=True)
 class Seating:
     """Documents with crc32(doc_id as text) mod folds == fold are held out of training.
 
-    The word restaurant's base is a spelling model: a restaurant for every two bytes before, whose parent drops the
+    The restaurant of a word before has one table for each word that follows; its parent, the word restaurant, has those
+    tables as its customers. The word restaurant's base is a spelling model: a restaurant for every two bytes before, whose parent drops the
     farther byte, down to no byte and a uniform base. Gibbs sweeps seat words' customers, then, byte_sweeps times, the
     spelling's; samples after burn are averaged. theta: strength of all restaurants; discounts come from the counts of
     customers seen once and twice.
@@ -44,7 +48,7 @@ def held_out(doc_id, s: Seating) -> bool:
 
 def _index(s: Seating):
     """Chunks of whole texts: kind 0, a row per distinct word (number in the chunk, training count); kind 1, a row per
-    text with the numbers of its words."""
+    text with the numbers of its words; kind 2, a row per distinct word and word before (their code, training count)."""
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -56,13 +60,14 @@ def _index(s: Seating):
             out_of = np.array([held_out(d, s) for d in docs], bool)
             hashes = np.concatenate([x[5] for x in held])
             lengths = np.concatenate([np.diff(x[4]) for x in held])
-            _, index, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            names, index, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
             by_count = np.argsort(-counts, kind="stable")
             rank = np.empty(len(counts), np.int64)
             rank[by_count] = np.arange(len(counts))
             number = rank[number].astype(np.int32)
             of_train = np.repeat(~out_of, lengths)
             trained = np.bincount(number[of_train], minlength=len(counts)) if len(number) else np.zeros(0, np.int64)
+            del hashes, of_train
             begins = np.concatenate([[0], np.cumsum([len(x[5]) for x in held])])
             first = index[by_count]
             source = np.searchsorted(begins, first, "right") - 1
@@ -70,15 +75,27 @@ def _index(s: Seating):
             v = len(words) + 1
             chunk = (part << 24) + n
             nothing = [None] * v
-            yield pa.RecordBatch.from_arrays([pa.array([0] * v, pa.int32()), pa.array([chunk] * v, pa.int64()), pa.array(np.arange(v)), pa.array([*words, END], pa.binary()), pa.array(np.append(trained, (~out_of).sum()), pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.bool_()), pa.array(nothing, pa.binary())], names=_COLUMNS)
+            hashed = np.append(names[by_count], [END_HASH, BEGIN_HASH])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * v, pa.int32()), pa.array([chunk] * v, pa.int64()), pa.array(np.arange(v)), pa.array([*words, END], pa.binary()), pa.array(np.append(trained, (~out_of).sum()), pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.bool_()), pa.array(nothing, pa.binary()), pa.array(hashed[:-1].view(np.int64)), pa.array(nothing, pa.int64())], names=_COLUMNS)
             cuts = np.concatenate([[0], np.cumsum(lengths)])
+            stream = np.full(len(number) + len(docs), v - 1, np.int64)
+            stream[np.arange(len(number)) + np.repeat(np.arange(len(docs)), lengths)] = number
+            codes, inverse = np.unique(_pairs(stream, cuts[:-1] + np.arange(len(docs)), v), return_inverse=True)
+            del stream
+            own = np.bincount(inverse[np.repeat(~out_of, lengths + 1)], minlength=len(codes))
+            del inverse
+            for at in range(0, len(codes), 200_000):
+                part_ = codes[at : at + 200_000]
+                m = len(part_)
+                nothing = [None] * m
+                yield pa.RecordBatch.from_arrays([pa.array([2] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array(part_), pa.array(nothing, pa.binary()), pa.array(own[at : at + 200_000]), pa.array(nothing, pa.int64()), pa.array(nothing, pa.bool_()), pa.array(nothing, pa.binary()), pa.array(hashed[part_ % (v + 1)].view(np.int64)), pa.array(hashed[part_ // (v + 1)].view(np.int64))], names=_COLUMNS)
             last = np.array([v - 1], np.int32).tobytes()
             raw = number.tobytes()
             for at in range(0, len(docs), 2000):
                 ids = [raw[4 * a : 4 * b] + last for a, b in zip(cuts[at : at + 2000].tolist(), cuts[at + 1 : at + 2001].tolist(), strict=False)]
                 m = len(ids)
                 nothing = [None] * m
-                yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.binary()), pa.array(nothing, pa.int64()), pa.array(docs[at : at + 2000], pa.int64()), pa.array(out_of[at : at + 2000]), pa.array(ids, pa.binary())], names=_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.binary()), pa.array(nothing, pa.int64()), pa.array(docs[at : at + 2000], pa.int64()), pa.array(out_of[at : at + 2000]), pa.array(ids, pa.binary()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64())], names=_COLUMNS)
 
         for batch in batches:
             for rows, data, offsets in slices(batch):
@@ -95,8 +112,15 @@ def _index(s: Seating):
     return run
 
 
-_COLUMNS = ["kind", "chunk", "number", "word", "c", "doc_id", "held_out", "ids"]
-_ROW = "kind int, chunk long, number long, word binary, c long, doc_id long, held_out boolean, ids binary"
+_COLUMNS = ["kind", "chunk", "number", "word", "c", "doc_id", "held_out", "ids", "hash", "before"]
+_ROW = "kind int, chunk long, number long, word binary, c long, doc_id long, held_out boolean, ids binary, hash long, before long"
+
+
+def _pairs(stream: np.ndarray, heads: np.ndarray, v: int) -> np.ndarray:
+    """A code of each word and the one before it; v stands before a text's first."""
+    before = np.concatenate([[v], stream[:-1]]).astype(np.int64)
+    before[heads] = v
+    return before * (v + 1) + stream
 
 
 def discount(counts: np.ndarray, n: np.ndarray | None = None) -> float:
@@ -264,7 +288,7 @@ def _score(shared, s: Seating, d: float, n: int):
         unknown = np.mean([new[i] * max(1 - spelt[i], 1e-9) for i in range(s.burn, s.sweeps)])
         for batch in batches:
             words = column(batch, "word").cast(pa.large_binary())
-            c = column(batch, "c").to_numpy()
+            c = column(batch, "k").to_numpy()
             known = np.flatnonzero(c)
             mean = np.full(len(c), unknown)
             data, offsets = text_buffers(words.take(pa.array(known)).view(pa.large_string()))
@@ -274,21 +298,37 @@ def _score(shared, s: Seating, d: float, n: int):
                 tables = _tables(data, offsets, c_, log, totals[i], s, d, i)
                 sums += (c_ - d * tables) / (s.theta + n) + new[i] * np.exp(log)
             mean[known] = sums / (s.sweeps - s.burn)
-            yield pa.RecordBatch.from_arrays([column(batch, "chunk"), column(batch, "number"), column(batch, "c"), pa.array(np.log10(mean).astype(np.float32))], names=["chunk", "number", "c", "score"])
+            yield pa.RecordBatch.from_arrays([column(batch, "chunk"), column(batch, "number"), column(batch, "c"), column(batch, "followers"), pa.array(np.log10(mean).astype(np.float32))], names=["chunk", "number", "c", "followers", "score"])
 
     return run
 
 
-def _sum(n: int, v: int):
+def _sum(n: int, v: int, s: Seating, d: float, begun: tuple[int, int]):
+    """begun: training texts, and how many words stand first in one."""
+
     def run(words: pa.Table, docs: pa.Table) -> pa.Table:
-        at = column(words, "number").to_numpy()
-        c, score = np.zeros(len(at), np.int64), np.zeros(len(at))
-        c[at], score[at] = column(words, "c").to_numpy(), column(words, "score").to_numpy()
+        followers = column(words, "followers").to_numpy()
+        of_pair = followers < 0
+        at, count = column(words, "number").to_numpy(), column(words, "c").to_numpy()
+        codes, together = at[of_pair], count[of_pair]
+        order = np.argsort(codes)
+        codes, together = codes[order], together[order]
+        at, m = at[~of_pair], int((~of_pair).sum())
+        c, score, tables = np.zeros(m, np.int64), np.zeros(m), np.zeros(m + 1, np.int64)
+        c[at], score[at], tables[at] = count[~of_pair], column(words, "score").to_numpy()[~of_pair], followers[~of_pair]
+        tables[m] = begun[1]
+        customers = np.append(c, begun[0])
+        customers[m - 1] = 0  # nothing follows the end of a text
+        total = s.theta + customers
+        new = (s.theta + d * tables) / total
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         rows = []
         for ids in column(docs, "ids"):
             ids = np.frombuffer(ids.as_py(), np.int32)
-            rows.append((len(ids), int((c[ids] > 0).sum()), float(base[ids].sum()), float(score[ids].sum())))
+            found = _pairs(ids, np.zeros(1, int), m)
+            before = found // (m + 1)
+            own = np.maximum(together[np.searchsorted(codes, found)] - d, 0) / total[before]
+            rows.append((len(ids), int((c[ids] > 0).sum()), float(base[ids].sum()), float(np.log10(own + new[before] * 10.0 ** score[ids]).sum())))
         n_tokens, known, bases, scores = zip(*rows, strict=True) if rows else [()] * 4
         return pa.table([column(docs, "doc_id"), column(docs, "held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(rows), pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -299,8 +339,8 @@ def score_texts(docs: DataFrame, s: Seating = Seating()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text).
 
     1. A scan cuts the texts into chunks of bounded size and numbers each chunk's distinct words.
-    2. The chunks' words meet once, by the word: counts of all training documents. A word comes from a chunk once,
-       however often it stands there, so no word is hot.
+    2. The chunks' words, and their pairs of a word and the one before, meet once, by the word or pair: counts of all
+       training documents. Each comes from a chunk once, however often it stands there, so none is hot.
     3. Gibbs sweeps over the distinct words; the spelling restaurants' customers, at most 258 * 258 * 257 sums, go to
        the driver, which seats them and broadcasts the sample.
     4. Each chunk gets its words' scores back and sums them over its texts.
@@ -313,18 +353,34 @@ def score_texts(docs: DataFrame, s: Seating = Seating()) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     path = new_path(spark, "index")
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "3")  # a file for each kind, instead of a sort by it
     only(docs, "doc_id", "text").mapInArrow(_index(s), _ROW).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
     index = spark.read.schema(_ROW).parquet(path)
     small_batches(spark, 20_000)
     word = Window.partitionBy("word")
-    words = index.where("kind = 0").select("word", "chunk", "number", F.col("c").alias("own"))
-    words = words.select("word", "chunk", "number", F.sum("own").over(word).alias("c"), (F.row_number().over(word.orderBy("chunk")) == 1).alias("once"))
+    pair = Window.partitionBy("hash", "before")
+    pairs = index.where("kind = 2").select("hash", "before", "chunk", "number", F.col("c").alias("own"))
+    pairs = stage(pairs.select("hash", "before", "chunk", "number", F.sum("own").over(pair).alias("c"), (F.row_number().over(pair.orderBy("chunk")) == 1).alias("once")), "pairs")
+    drop_path(spark, f"{path}/kind=2")
+    release(spark)
+    distinct = pairs.where("once and c > 0")
+    seen = lambda c, n: distinct.groupBy(F.col(c).alias("hash")).agg(F.count("*").alias(n))
+    first = seen("before", "followers").where(F.col("hash") == int(BEGIN_HASH.view(np.int64))).first()
+    few = {r["c"]: r["n"] for r in distinct.where("c <= 2").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    d_pair = discount(np.array([1, 2]), np.array([few.get(1, 0), few.get(2, 0)]))
+    words = index.where("kind = 0").select("word", "hash", "chunk", "number", F.col("c").alias("own"))
+    words = words.select("word", "hash", "chunk", "number", F.sum("own").over(word).alias("c"), (F.row_number().over(word.orderBy("chunk")) == 1).alias("once"))
+    words = words.join(seen("hash", "k"), "hash", "left").join(seen("before", "followers"), "hash", "left").fillna(0, ["k", "followers"])
     words = stage(words, "words")
     drop_path(spark, f"{path}/kind=0")
     release(spark)
     known = words.where("once and c > 0")
     totals = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
+    known = known.select("word", F.col("k").alias("c"))
+    seated = known.agg(F.sum("c")).first()[0] or 0
+    begun = (index.where("kind = 1 and not held_out").count(), first["followers"] if first else 0)
     few = {r["c"]: r["n"] for r in known.where("c <= 2").groupBy("c").agg(F.count("*").alias("n")).collect()}
     d = discount(np.array([1, 2]), np.array([few.get(1, 0), few.get(2, 0)]))
     models, tables, spelt, shared = [], [], [], None
@@ -337,9 +393,10 @@ def score_texts(docs: DataFrame, s: Seating = Seating()) -> DataFrame:
             models.append(Spelling({c: int(x) for c, x in sums.items()}, s, s.seed + sweep))
             shared = spark.sparkContext.broadcast((models[-1], tables[-1]))
     shared = spark.sparkContext.broadcast((models, tables, spelt[1:]))
-    scored = words.select("word", "c", "chunk", "number").mapInArrow(_score(shared, s, d, n), "chunk long, number long, c long, score float")
+    scored = words.select("word", "c", "k", "followers", "chunk", "number").mapInArrow(_score(shared, s, d, seated), "chunk long, number long, c long, followers long, score float")
+    scored = scored.union(pairs.select("chunk", "number", "c", F.lit(-1).cast("long"), F.lit(0).cast("float")))
     texts = index.where("kind = 1").select("chunk", "doc_id", "held_out", "ids")
-    out = scored.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_sum(n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = scored.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_sum(n, v, s, d_pair, begun), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = stage(out, "scores")
     small_batches(spark)
     return out

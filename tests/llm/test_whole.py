@@ -1,8 +1,12 @@
 """Whatever the base patterns leave out."""
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from stratalode.llm import pii
+from stratalode.llm import language_model, pii
 
 BEYOND = [
     ("email", "jane.doe (at) example (dot) com", "write to {} soon"),
@@ -32,3 +36,29 @@ def test_redaction_beyond_the_base(spark):
     docs = spark.createDataFrame([(i, around.format(value)) for i, (_, value, around) in enumerate(BEYOND)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.fit(docs)).collect()}
     assert got == {i: around.format(f"<{kind}>") for i, (kind, _, around) in enumerate(BEYOND)}
+
+
+def test_language_model_sees_the_order_of_words(spark):
+    lines = [f"the old {a} sat on a {b}" for a in ("cat", "dog", "fox", "hen") for b in ("mat", "rug", "box", "bed")]
+    rows = [(i, x) for i, x in enumerate(lines * 4) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(10_000, 10_050) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows += [(held[0], "the old dog sat on a bed"), (held[1], "bed a on sat dog old the")]
+    got = {r["doc_id"]: r for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 3
+
+
+def test_word_contexts_sum_to_one():
+    # numbers of a chunk: two known words, an unknown one, the end; 4 stands before a text's first
+    c, followers, chance = [4, 3, 0, 3], [3, 2, 0, 0], [0.3, 0.2, 0.1, 0.4]
+    together = {(0, 0): 2, (0, 1): 1, (0, 3): 1, (1, 0): 1, (1, 3): 2, (4, 0): 1, (4, 1): 2}
+    pairs = [(b * 5 + x, together.get((b, x), 0)) for b in (0, 1, 2, 4) for x in range(4)]
+    words = pa.table({"number": [*range(4), *(x for x, _ in pairs)], "c": [*c, *(n for _, n in pairs)], "followers": followers + [-1] * len(pairs), "score": np.log10([*chance, *[1] * len(pairs)])})
+    texts = [[], *([b, *x] for b in range(3) for x in ([], [0], [1], [2], [3])), [3]]
+    docs = pa.table({"doc_id": range(len(texts)), "held_out": [True] * len(texts), "ids": [np.array(x, np.int32).tobytes() for x in texts]})
+    docs = docs.slice(1)
+    got = language_model._sum(10, 3, language_model.Seating(), 0.4, (3, 2))(words, docs)["score"].to_pylist()
+    p = dict(zip(map(tuple, texts[1:]), (10**x for x in got), strict=True))
+    assert sum(p[x,] for x in range(4)) == pytest.approx(1)
+    for b in range(3):
+        assert sum(p[b, x] for x in range(4)) / p[b,] == pytest.approx(1)
