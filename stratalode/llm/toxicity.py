@@ -64,8 +64,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int):
 def _patterns(text: str) -> list[bool]:
     """Pattern voters: shouting, exclamations, question storms, stretched letters."""
     n = max(len(text), 1)
-    upper = sum(map(str.isupper, text[:4000]))
-    return [upper > 0.3 * min(n, 4000), text.count("!") * 100 > n, "!!" in text, "?!" in text or "??" in text]
+    upper = sum(map(str.isupper, text))
+    return [upper > 0.3 * n, text.count("!") * 100 > n, "!!" in text, "?!" in text or "??" in text]
 
 
 def _examples(w: Weak):

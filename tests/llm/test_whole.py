@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stratalode.llm import language_model, pii
+from stratalode.llm import language_model, pii, toxicity
 
 BEYOND = [
     ("email", "jane.doe (at) example (dot) com", "write to {} soon"),
@@ -62,3 +62,7 @@ def test_word_contexts_sum_to_one():
     assert sum(p[x,] for x in range(4)) == pytest.approx(1)
     for b in range(3):
         assert sum(p[b, x] for x in range(4)) / p[b,] == pytest.approx(1)
+
+
+def test_shouting_counts_over_the_whole_text():
+    assert toxicity._patterns("a" * 4000 + "A" * 8000)[0] and not toxicity._patterns("A" * 4000 + "a" * 20_000)[0]
