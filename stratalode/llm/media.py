@@ -63,9 +63,8 @@ def _encode(s: Sound):
 def fingerprint(payload: bytes, s: Sound, window: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(codes, frames) of the peak pairs in order of time: code = bin, partner's bin, frames between, 8 bits each."""
     x = np.frombuffer(payload, np.uint8).astype(np.float32) - np.float32(128)
-    if len(x) < s.frame:
-        x = np.concatenate([x, np.zeros(s.frame - len(x), np.float32)])
-    n = (len(x) - s.frame) // s.hop + 1
+    n = max(0, -(-(len(x) - s.frame) // s.hop)) + 1  # the last frame ends at or after the last sample, in silence
+    x = np.concatenate([x, np.zeros((n - 1) * s.hop + s.frame - len(x), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, s.frame)[:: s.hop][:n]
     width = s.frame // 2 // s.bands
     bins, power = np.empty((n, s.bands), np.int64), np.empty((n, s.bands), np.float32)

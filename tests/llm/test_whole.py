@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stratalode.llm import language_model, pii, toxicity
+from stratalode.llm import language_model, media, pii, toxicity
 
 BEYOND = [
     ("email", "jane.doe (at) example (dot) com", "write to {} soon"),
@@ -66,3 +66,12 @@ def test_word_contexts_sum_to_one():
 
 def test_shouting_counts_over_the_whole_text():
     assert toxicity._patterns("a" * 4000 + "A" * 8000)[0] and not toxicity._patterns("A" * 4000 + "a" * 20_000)[0]
+
+
+def test_the_last_samples_count_in_fingerprints():
+    sound, window = media.Sound(), np.hanning(256).astype(np.float32)
+    one = np.random.RandomState(2).randint(0, 256, 320).astype(np.uint8)
+    other = one.copy()
+    other[-64:] = 255 - other[-64:] // 2
+    a, b = (media.fingerprint(x.tobytes(), sound, window) for x in (one, other))
+    assert not (np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]))
