@@ -181,7 +181,5 @@ def packed_digest(docs: DataFrame, p: Packing) -> DataFrame:
     return place(pieces, p.window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-
-
 def op2_packing(spark, sf_dir):
-    return packed_digest(read(spark, sf_dir, "documents"), Packing(vocabulary("byte_bpe_50k.tiktoken")))
+    return packed_digest(read(spark, sf_dir, "documents"), Packing(vocabulary("byte_bpe_50k.json")))

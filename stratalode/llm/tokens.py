@@ -2,136 +2,159 @@
 
 from __future__ import annotations
 
-import base64
+import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import text as T
+from .common import SLICE_BYTES, slices
 
-class ByteEncoder:
-    """Byte-level BPE from a file of ranks. Its ids equal those of the tokenizers file of the same vocabulary with
-    add_special_tokens=False (special tokens' strings in a text become their ids there too), at several times the speed.
-    """
-
-    def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
+# Classes of bytes. Other: control signs and all letters beyond U+00FF, next to which no text is cut but at a blank.
+_BLANK, _LETTER, _DIGIT, _SIGN, _QUOTE, _OTHER = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[39] = _QUOTE
+_CLASS[[32, 9, 10, 11, 12, 13]] = _BLANK
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        special = {"<|endoftext|>": len(ranks)}
-        self.coding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+#: The signs that byte-level vocabularies show bytes by: printable ones by themselves, the others from U+0100 on.
+_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173))}
 
-    def encode(self, texts) -> list[bytes]:
-        """Of a list or an Arrow array of strings without nulls."""
-        texts = texts if isinstance(texts, list) else texts.to_pylist()
-        return [np.array(self.coding.encode(x, allowed_special="all"), "<u4").tobytes() for x in texts]
 
+def _table(words: bool) -> np.ndarray:
+    """Whether a text may be cut between two bytes of given classes, without a change of its ids.
 
-class WordEncoder:
-    """A tokenizers file that drops white space, with add_special_tokens=False.
-
-    No token reaches over a blank or a line feed, so a text falls into stretches there, and each distinct stretch is
-    encoded once; a simple one as its lower-case letters and one closing stop, comma or bar. Two generations of at most
-    `most` stretches are kept, so memory is bounded; a stretch that the younger one lacks is taken from the older one.
+    Both kinds of vocabulary end a run of letters before a digit or a sign, a run of signs before a digit, and before a
+    letter unless a quotation mark (of 's or 'll) leads to it. One that drops blanks has each digit alone, and a piece
+    keeps the blanks behind it; one that keeps them has digits in runs, and a piece begins with the blanks before it.
+    """
+    cut = np.zeros((8, 8), bool)
+    cut[_LETTER, [_DIGIT, _SIGN, _QUOTE]] = True
+    cut[_DIGIT, [_LETTER, _SIGN, _QUOTE]] = True
+    cut[_SIGN, [_LETTER, _DIGIT]] = True
+    cut[_QUOTE, _DIGIT] = True
+    if words:
+        cut[_DIGIT, _DIGIT] = True
+        cut[_BLANK, _LETTER:] = True
+    else:
+        cut[[_LETTER, _DIGIT, _SIGN, _QUOTE], _BLANK] = True
+    return cut.reshape(-1)
+
+
+class Encoder:
+    """A tokenizers file of byte pairs, with add_special_tokens=False; special tokens' strings in a text become their ids.
+
+    Texts are cut where no token reaches over, and the library encodes each distinct piece once. Two generations of at
+    most `most` pieces are kept, so memory is bounded; a piece that the younger one lacks is taken from the older one.
+    Texts that may hold a special token's string go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 750_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        normal = json.loads(self.tokenizer.to_str())["normalizer"]
+        self.words = normal is not None  # lower case, blanks dropped
+        if self.words and [x["type"] for x in normal["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError(f"{path} has a normalizer of another kind")
+        self.cut = _table(self.words)
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.most, self.longest = most, longest
-        (self.mark,) = self.tokenizer.encode("\x00", add_special_tokens=False).ids
-        self.plain = re.compile(r"[^\s<\x00]+").fullmatch
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
-        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        # a sign after a letter, with nothing behind it, is a token of its own
-        self.signs = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,|"}
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encodes stretches many at once, as a call has its own cost. Latin letters alone are one word to the tokenizer,
-        so its last token shows where they end; other plain stretches get a mark between them that no text gives."""
-        words = [x for x in parts if x.isalpha() and (x.isascii() or max(x) < "\u0250" and "\u0130" not in x)]
-        if len(words) < len(parts):
-            others = list(set(parts).difference(words))
-            easy = [x for x in others if self.plain(x)]
-            self._cut(easy, " \x00 ", lambda ids: np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
-            odd = [x for x in others if not self.plain(x)]
-            found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
-            self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(odd, found, strict=True))
-        self._cut(words, " ", lambda ids: np.flatnonzero(self.last[ids]) + 1, 0)
-
-    def _cut(self, words: list[str], between: str, ends, gap: int) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            (found,) = self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            stops = ends(ids)
-            raw = ids.tobytes()
-            begins = [0, *(4 * (stops[:-1] + gap)).tolist()]
-            self.known.update(zip(some, [raw[b:e] for b, e in zip(begins, (4 * stops).tolist(), strict=True)], strict=True))
-
-    def _meet(self, parts: set[str]) -> list[str]:
-        """Makes the stretches known; returns those that are too long to keep."""
-        known, older, signs = self.known, self.older, self.signs
-        new = parts.difference(known)
+        self.met = self.learnt = 0
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """A piece that is one run of Latin letters is one word to the library's model, which is quicker to ask directly."""
+        ask, odd = self.tokenizer.model.tokenize, []
+        for x in pieces:
+            bare = x if self.words or x[0] != " " else x[1:]
+            if bare.isalpha() and (bare.isascii() or max(bare) < "\u0100"):
+                as_asked = x.lower() if self.words else x
+                if not x.isascii() or x is not bare:
+                    as_asked = as_asked.encode().decode("latin-1").translate(_SHOWN)
+                self.known[x] = b"".join([y.id.to_bytes(4, "little") for y in ask(as_asked)])
+            else:
+                odd.append(x)
+        self.known.update(zip(odd, self._plain(odd), strict=True))
+
+    def _meet(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; those that are new are learnt."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        keys = [x.rstrip(" \t\n\v\f\r") for x in pieces] if self.words else pieces
+        new = set(keys).difference(known)
         if older:
             back = {x: older[x] for x in new if x in older}
             known.update(back)
             new.difference_update(back)
-        # of Latin letters whose lower case is one letter each the tokenizer makes the same as str.lower() does
-        simple = [x for x in new if (x.isascii() or max(x) < "\u0250" and "\u0130" not in x) and "<|" not in x]
-        if len(simple) < len(new):
-            self._learn(list(new.difference(simple)))
-        lows = [x.lower() for x in simple]
-        ended = [(x, y[:-1], signs[y[-1]]) for x, y in zip(simple, lows, strict=True) if y[-1] in signs and y[:-1].isalpha()]
-        done = {x for x, _, _ in ended}
-        whole = [(x, y) for x, y in zip(simple, lows, strict=True) if x not in done]
-        stems = {y for _, y, _ in ended}.union(y for _, y in whole).difference(known)
-        if older:
-            back = {x: older[x] for x in stems if x in older}
-            known.update(back)
-            stems.difference_update(back)
-        self._learn(list(stems))
-        known.update([(x, known[y]) for x, y in whole if x != y])
-        known.update([(x, known[y] + sign) for x, y, sign in ended])
-        return [x for x in new if len(x) > self.longest]
+        asked = list(new)
+        self._learn(asked)
+        found = [known[x] for x in keys]
+        for x in asked:
+            if len(x) > self.longest:
+                del known[x]
+        self.met, self.learnt = self.met + len(keys), self.learnt + len(asked)
+        return found
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin."""
+        kinds = _CLASS[data]
+        lead = np.flatnonzero(data == 0xC3)  # of U+00C0 to U+00FF two are signs, the others letters
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kinds[lead] = kinds[lead + 1] = _LETTER
+        begin = np.empty(len(data) + 1, bool)
+        begin[1:-1] = self.cut[kinds[:-1] * np.uint8(8) + kinds[1:]]
+        begin[offsets] = True
+        return np.flatnonzero(begin[:-1])
 
     def encode(self, texts) -> list[bytes]:
         """Of a list or an Arrow array of strings without nulls."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's string counts only as it is written
-            texts = pc.ascii_lower(texts)
-        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        if not len(cut):
-            return []
-        words = cut.flatten().dictionary_encode()
-        distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
-        if len(self.known) > self.most:
-            self.known, self.older = {"": b""}, self.known
-        long = self._meet(set(distinct))
-        found = list(map(self.known.__getitem__, distinct))
-        for x in long:
-            del self.known[x]
-        stops = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found))[at])])
-        ids = b"".join(map(found.__getitem__, at.tolist()))
-        cuts = stops[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
-
-_encoders: dict[str, ByteEncoder | WordEncoder] = {}
-
-
-def encoder(path: str) -> ByteEncoder | WordEncoder:
+        special = pc.match_substring(texts, "<|")
+        whole = {}
+        if pc.any(special).as_py():
+            at = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+            whole = dict(zip(at.tolist(), self._plain(texts.take(pa.array(at)).to_pylist()), strict=True))
+            texts = pc.if_else(special, "", texts)
+        out: list[bytes] = []
+        for _, data, offsets in slices(pa.RecordBatch.from_arrays([texts], ["text"]), limit=8 * SLICE_BYTES):
+            if not len(data):
+                out += [b""] * (len(offsets) - 1)
+                continue
+            data = T.LOWER[data] if self.words else data
+            begins = self._pieces(data, offsets)
+            stops = np.append(begins, len(data)).astype(np.int32)
+            parts = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(stops), pa.py_buffer(data)]).dictionary_encode()
+            found = self._meet(parts.dictionary.to_pylist())
+            ids = np.frombuffer(b"".join(found), "<u4")
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+            at = parts.indices.to_numpy()
+            own = sizes[at]
+            ends = np.concatenate([[0], np.cumsum(own)])
+            raw = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+            cuts = (4 * ends[np.searchsorted(begins, offsets)]).tolist()
+            out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i, value in whole.items():
+            out[i] = value
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One encoder per Python worker: what it has learnt serves the worker's next tasks."""
     if path not in _encoders:
-        _encoders[path] = ByteEncoder(path) if path.endswith(".tiktoken") else WordEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 

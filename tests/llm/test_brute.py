@@ -106,16 +106,16 @@ def test_token_files(spark, sf_dir, texts):
     assert not got
 
 
-def test_encoders_equal_the_library_on_odd_texts():
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_odd_texts(name):
     from tokenizers import Tokenizer
 
     rng = np.random.RandomState(5)
-    signs = list("abcZ19.,'’éßΣς|<>") + ["  ", "\n", "\t", " \n", " ", "　", "\x1c", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "´", "́", "😀", "İ", "\r\n", "\x00", " \x00 ", "ﬁ", "the"]
-    texts = ["".join(rng.choice(signs, rng.randint(0, 25))) for _ in range(4000)]
-    for name, own in (("byte_bpe_50k.json", tokens.ByteEncoder(tokens.vocabulary("byte_bpe_50k.tiktoken"))), ("word_bpe_49k.json", tokens.WordEncoder(tokens.vocabulary("word_bpe_49k.json"), most=500))):
-        plain = Tokenizer.from_file(tokens.vocabulary(name))
-        want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
-        assert sum((own.encode(texts[i : i + 500]) for i in range(0, 4000, 500)), []) == want
+    signs = list("abcZ19.,'’éßΣς|<>×÷ÿ-=") + ["  ", "\n", "\t", " \n", " ", "\u3000", "\u00a0", "\x1c", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'ll", "''", "´", "\u0301", "\u0338", "😀", "İ", "\r\n", "\x00", " \x00 ", "ﬁ", "½", "٣", "²", "\u200b", "\u00ad", "the"]
+    texts = ["".join(rng.choice(signs, rng.randint(0, 25))) for _ in range(20_000)] + ["".join(map(chr, range(a, a + 64))) + " x" for a in range(0, 0xD7C0, 64)]
+    plain, own = Tokenizer.from_file(tokens.vocabulary(name)), tokens.Encoder(tokens.vocabulary(name), most=500)
+    want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert sum((own.encode(texts[i : i + 500]) for i in range(0, len(texts), 500)), []) == want
 
 
 def test_language_model(spark, sf_dir, texts):

@@ -132,7 +132,7 @@ def brute_ids(text, name, end):
 
 
 def test_packing(spark, docs, empty):
-    p = packing.Packing(tokens.vocabulary("byte_bpe_50k.tiktoken"))
+    p = packing.Packing(tokens.vocabulary("byte_bpe_50k.json"))
     got = packing.pack(docs, p).collect()
     seen, windows = {}, {}
     for r in got:
