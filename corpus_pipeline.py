@@ -36,7 +36,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 1024 tokens: ids, their checksum, and the place of each piece."""
-    return packing.pack(docs, packing.Packing(tokens.vocabulary("byte_bpe_50k.tiktoken"))).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(docs, packing.Packing(tokens.vocabulary("byte_bpe_50k.json"))).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
