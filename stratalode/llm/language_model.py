@@ -4,41 +4,44 @@ the bytes they are spelt with."""
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import column, drop_path, new_path, only, read, release, slices, small_batches, stage, text_buffers
+from .common import column, new_path, only, read, release, slices, small_batches, stage
 
 END = b"\n"  # the end of a text as a word: no word holds white space
 END_HASH = T.hash_words(np.frombuffer(END, np.uint8), np.zeros(1, np.int64), np.ones(1, np.int64))[0]
 BEGIN_HASH = T.mix(np.array([258], np.uint64))[0]  # the beginning of a text, as a word before only
+U = np.uint64
 
 
 @dataclass(frozen=True)
 class Seating:
     """Documents with crc32(doc_id as text) mod folds == fold are held out of training.
 
-    The restaurant of a word before has one table for each word that follows; its parent, the word restaurant, has those
-    tables as its customers. The word restaurant's base is a spelling model: a restaurant for every two bytes before, whose parent drops the
-    farther byte, down to no byte and a uniform base. Gibbs sweeps seat words' customers, then, byte_sweeps times, the
-    spelling's; samples after burn are averaged. theta: strength of all restaurants; discounts come from the counts of
-    customers seen once and twice.
+    The restaurant of a word before seats the words that follow; its parent, the word restaurant, has its tables as
+    customers. The word restaurant's base is a spelling model: a restaurant for every two bytes before, whose parent
+    drops the farther byte, down to no byte and a uniform base. Each of sweeps Gibbs sweeps seats the customers of all
+    levels again; the states from burn on are averaged. theta: strength of all restaurants; discounts come from how many
+    dishes have one customer and two. chunk_bytes of text make a chunk, bucket_bytes of text a bucket's pairs.
     """
 
     folds: int = 5
     fold: int = 1
-    sweeps: int = 3
+    sweeps: int = 2
     burn: int = 1
     byte_sweeps: int = 3
     theta: float = 1.0
     chunk_bytes: int = 16 << 20
+    bucket_bytes: int = 24 << 20
     seed: int = 11
 
 
@@ -46,9 +49,27 @@ def held_out(doc_id, s: Seating) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % s.folds == s.fold
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, compressed."""
+    values = np.ascontiguousarray(values, np.uint64)
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<QB", len(values), width) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", blob)
+    out = np.zeros((n, 8), np.uint8)
+    if width:
+        out[:, :width] = np.frombuffer(pa.decompress(blob[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view(np.uint64)
+
+
+_CHUNK = "chunk long, docs array<long>, held binary, size long, words binary, ids binary"
+
+
 def _index(s: Seating):
-    """Chunks of whole texts: kind 0, a row per distinct word (number in the chunk, training count); kind 1, a row per
-    text with the numbers of its words; kind 2, a row per distinct word and word before (their code, training count)."""
+    """Chunks of whole texts: the distinct words, the most frequent first, and the words of each text as their numbers."""
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -60,42 +81,20 @@ def _index(s: Seating):
             out_of = np.array([held_out(d, s) for d in docs], bool)
             hashes = np.concatenate([x[5] for x in held])
             lengths = np.concatenate([np.diff(x[4]) for x in held])
-            names, index, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            _, index, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
             by_count = np.argsort(-counts, kind="stable")
             rank = np.empty(len(counts), np.int64)
             rank[by_count] = np.arange(len(counts))
-            number = rank[number].astype(np.int32)
-            of_train = np.repeat(~out_of, lengths)
-            trained = np.bincount(number[of_train], minlength=len(counts)) if len(number) else np.zeros(0, np.int64)
-            del hashes, of_train
             begins = np.concatenate([[0], np.cumsum([len(x[5]) for x in held])])
             first = index[by_count]
             source = np.searchsorted(begins, first, "right") - 1
-            words = [held[b][1][held[b][2][i] : held[b][3][i]].tobytes() for b, i in zip(source.tolist(), (first - begins[source]).tolist(), strict=True)]
-            v = len(words) + 1
-            chunk = (part << 24) + n
-            nothing = [None] * v
-            hashed = np.append(names[by_count], [END_HASH, BEGIN_HASH])
-            yield pa.RecordBatch.from_arrays([pa.array([0] * v, pa.int32()), pa.array([chunk] * v, pa.int64()), pa.array(np.arange(v)), pa.array([*words, END], pa.binary()), pa.array(np.append(trained, (~out_of).sum()), pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.bool_()), pa.array(nothing, pa.binary()), pa.array(hashed[:-1].view(np.int64)), pa.array(nothing, pa.int64())], names=_COLUMNS)
-            cuts = np.concatenate([[0], np.cumsum(lengths)])
-            stream = np.full(len(number) + len(docs), v - 1, np.int64)
-            stream[np.arange(len(number)) + np.repeat(np.arange(len(docs)), lengths)] = number
-            codes, inverse = np.unique(_pairs(stream, cuts[:-1] + np.arange(len(docs)), v), return_inverse=True)
-            del stream
-            own = np.bincount(inverse[np.repeat(~out_of, lengths + 1)], minlength=len(codes))
-            del inverse
-            for at in range(0, len(codes), 200_000):
-                part_ = codes[at : at + 200_000]
-                m = len(part_)
-                nothing = [None] * m
-                yield pa.RecordBatch.from_arrays([pa.array([2] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array(part_), pa.array(nothing, pa.binary()), pa.array(own[at : at + 200_000]), pa.array(nothing, pa.int64()), pa.array(nothing, pa.bool_()), pa.array(nothing, pa.binary()), pa.array(hashed[part_ % (v + 1)].view(np.int64)), pa.array(hashed[part_ // (v + 1)].view(np.int64))], names=_COLUMNS)
-            last = np.array([v - 1], np.int32).tobytes()
-            raw = number.tobytes()
-            for at in range(0, len(docs), 2000):
-                ids = [raw[4 * a : 4 * b] + last for a, b in zip(cuts[at : at + 2000].tolist(), cuts[at + 1 : at + 2001].tolist(), strict=False)]
-                m = len(ids)
-                nothing = [None] * m
-                yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array([chunk] * m, pa.int64()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.binary()), pa.array(nothing, pa.int64()), pa.array(docs[at : at + 2000], pa.int64()), pa.array(out_of[at : at + 2000]), pa.array(ids, pa.binary()), pa.array(nothing, pa.int64()), pa.array(nothing, pa.int64())], names=_COLUMNS)
+            words = b"".join([held[b][1][held[b][2][i] : held[b][3][i]].tobytes() + END for b, i in zip(source.tolist(), (first - begins[source]).tolist(), strict=True)])
+            stream = np.full(len(number) + len(docs), len(counts), np.int64)
+            stream[np.arange(len(number)) + np.repeat(np.arange(len(docs)), lengths)] = rank[number]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(part << 24) + n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([out_of.tobytes()], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([pa.compress(words, "zstd", asbytes=True)], pa.binary()), pa.array([pack(stream)], pa.binary())],
+                names=["chunk", "docs", "held", "size", "words", "ids"],
+            )
 
         for batch in batches:
             for rows, data, offsets in slices(batch):
@@ -112,15 +111,189 @@ def _index(s: Seating):
     return run
 
 
-_COLUMNS = ["kind", "chunk", "number", "word", "c", "doc_id", "held_out", "ids", "hash", "before"]
-_ROW = "kind int, chunk long, number long, word binary, c long, doc_id long, held_out boolean, ids binary, hash long, before long"
+def _split(words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of words without the sign behind each, and their offsets."""
+    data = np.frombuffer(words, np.uint8)
+    stops = np.flatnonzero(data == END[0])
+    return data[data != END[0]], np.concatenate([[0], stops - np.arange(len(stops))])
+
+
+class Chunk:
+    """A chunk that was read. Words have the numbers 0 to m - 1, END m, and BEGIN, a word before only, m + 1."""
+
+    def __init__(self, size: int, words: bytes, ids: bytes | None = None):
+        data, offsets = _split(pa.decompress(words, size, "zstd", asbytes=True) if size else b"")
+        self.m = len(offsets) - 1
+        self.data, self.offsets = np.concatenate([data, np.frombuffer(END, np.uint8)]), np.append(offsets, len(data) + 1)
+        self.hashes = np.concatenate([T.hash_words(data, offsets[:-1], offsets[1:]), [END_HASH, BEGIN_HASH]])
+        self.width = self.m + 2
+        if ids is not None:
+            self.stream = unpack(ids).astype(np.int64)
+            self.ends = np.flatnonzero(self.stream == self.m)
+            self.heads = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
+            before = np.concatenate([[self.m + 1], self.stream[:-1]])
+            before[self.heads] = self.m + 1
+            self.codes, self.inverse = np.unique(before * self.width + self.stream, return_inverse=True)
+
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """A hash of each pair (the word before, the word)."""
+        return T.mix(self.hashes[codes // self.width] * U(0xA0761D6478BD642F) + T.mix(self.hashes[codes % self.width]))
+
+    def trained(self, held: bytes) -> np.ndarray:
+        """Which words of the stream are of training texts."""
+        return np.repeat(~np.frombuffer(held, bool), np.diff(np.append(self.heads, len(self.stream))))
+
+
+def _order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, and where each bucket ends in it; a bucket is a range of keys."""
+    order = np.argsort(keys)
+    return order, np.searchsorted(((keys[order] >> U(32)) * U(buckets)) >> U(32), np.arange(buckets), "right")
+
+
+def _parcels(chunk: int, keys: np.ndarray, values: list[np.ndarray], buckets: int):
+    """Rows (bucket, chunk, keys, values) in order of the keys."""
+    order, stops = _order(keys, buckets)
+    keys, values, at = keys[order], [v[order] for v in values], 0
+    for bucket, stop in enumerate(stops.tolist()):
+        if stop > at:
+            own = keys[at:stop].copy()
+            own[1:] -= keys[at : stop - 1]
+            yield bucket, chunk, pack(own), *(pack(v[at:stop]) for v in values)
+        at = stop
+
+
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+_OFFER = "bucket long, chunk long, keys binary, a binary"
+
+
+def _offers(buckets: int):
+    """How often each word and each pair of a chunk stands in training texts."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                chunk = Chunk(r["size"], r["words"], r["ids"])
+                trained = chunk.trained(r["held"])
+                counts = np.concatenate([np.bincount(chunk.stream[trained], minlength=chunk.m + 1)[: chunk.m + 1], np.bincount(chunk.inverse[trained], minlength=len(chunk.codes))])
+                keys = np.concatenate([chunk.hashes[: chunk.m + 1], chunk.keys(chunk.codes)])
+                for row in _parcels(r["chunk"], keys, [counts], buckets):
+                    yield _batch([row], _OFFER)
+
+    return run
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """Sums over all chunks for the keys of a bucket: 2 * sum, and 1 more for the chunk that owns the key, the first."""
+    table = table.sort_by("chunk")
+    keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in column_of(table, "keys")]
+    counts = np.concatenate([unpack(x.as_py()) for x in column_of(table, "a")]).astype(np.float64)
+    _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    sums = np.bincount(inverse, counts).astype(np.uint64)[inverse] * U(2)
+    sums[first] += U(1)
+    cuts = np.cumsum([0, *map(len, keys)])
+    return pa.table({"chunk": column_of(table, "chunk"), "bucket": column_of(table, "bucket"), "a": pa.array([pack(sums[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+
+
+def column_of(table: pa.Table, name: str):
+    return table.column(name).combine_chunks()
+
+
+def _joined(table: pa.Table, names: str) -> list[np.ndarray]:
+    """The values of a chunk's rows (bucket, ...), in order of the buckets."""
+    table = table.sort_by("bucket")
+    return [np.concatenate([np.empty(0, np.uint64), *(unpack(x.as_py()) for x in column_of(table, name))]) for name in names]
+
+
+def _counts(chunk: Chunk, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(counts of words, whether they are the chunk's own, counts of pairs, whether they are)."""
+    (found,) = _joined(replies, "a")
+    order, _ = _order(np.concatenate([chunk.hashes[: chunk.m + 1], chunk.keys(chunk.codes)]), buckets)
+    out = np.empty(len(found), np.uint64)
+    out[order] = found
+    count, own = (out >> U(1)).astype(np.int64), (out & U(1)).astype(bool)
+    return count[: chunk.m + 1], own[: chunk.m + 1], count[chunk.m + 1 :], own[chunk.m + 1 :]
+
+
+_OWN = "kind int, chunk long, bucket long, keys binary, a binary, b binary, c binary, size long, words binary, code long, n double"
+
+
+def _rows(kind: int, chunk: int | None, bucket: int | None = None, keys=None, a=None, b=None, c=None, size=None, words=None, code=None, n=None) -> tuple:
+    return kind, chunk, bucket, keys, a, b, c, size, words, code, n
+
+
+def _state(number: int, chunk: Chunk, customers: np.ndarray, tables: np.ndarray, buckets: int):
+    """Rows of kind 1: customers a pair's tables bring to each word, and tables in each word's restaurant."""
+    for bucket, at, keys, a, b in _parcels(number, chunk.hashes, [customers, tables], buckets):
+        yield _rows(1, at, bucket, keys, a, b)
+
+
+def _sums(sums: dict):
+    for code, n in sums.items():
+        yield _rows(2, None, code=code, n=float(n))
+
+
+# Codes of sums that are no byte grams.
+ONCE, TWICE, TOKENS, KINDS, TEXTS, TABLES, SPELT = range(-1, -8, -1)
+
+
+def _own(buckets: int):
+    """Of a chunk: what sweeps need (kind 0), the first state, one table a pair (kind 1), and sums (kind 2)."""
+
+    def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        for r in chunks.to_pylist():
+            chunk = Chunk(r["size"], r["words"], r["ids"])
+            c, own_word, together, own = _counts(chunk, replies, buckets)
+            own = own & (together > 0)
+            before, word = chunk.codes // chunk.width, chunk.codes % chunk.width
+            customers, tables = np.bincount(word[own], minlength=chunk.width), np.bincount(before[own], minlength=chunk.width)
+            out += _state(r["chunk"], chunk, customers, tables, buckets)
+            many = own & (together > 1)
+            once = own & (together == 1)
+            fixed = [np.bincount(x[once], minlength=chunk.width) for x in (word, before)]
+            codes = chunk.codes[many]
+            codes = np.diff(codes, prepend=0) if len(codes) else codes
+            flags = np.append(own_word & (c > 0), False)
+            blob = pack(np.concatenate([*fixed, flags, codes]))
+            out.append(_rows(0, r["chunk"], a=blob, b=pack(together[many]), size=r["size"], words=r["words"]))
+            mine = own_word & (c > 0)
+            sums = {ONCE: once.sum(), TWICE: (own & (together == 2)).sum(), TOKENS: c[mine].sum(), KINDS: mine.sum(), TEXTS: int((~np.frombuffer(r["held"], bool)).sum())}
+            at = np.flatnonzero(mine)
+            grams = _grams(*_some(chunk, at), np.ones(len(at)))
+            out += _sums(sums | dict(zip(*(x.tolist() for x in grams), strict=True)))
+        return pa.Table.from_batches([_batch(out, _OWN)])
+
+    return run
+
+
+def _some(chunk: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the words of these numbers, which ascend."""
+    sizes = np.diff(chunk.offsets)
+    keep = np.zeros(len(sizes), bool)
+    keep[at] = True
+    return chunk.data[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])])
+
 
+_STATE = "chunk long, bucket long, a binary, b binary, n double, once double, twice double"
 
-def _pairs(stream: np.ndarray, heads: np.ndarray, v: int) -> np.ndarray:
-    """A code of each word and the one before it; v stands before a text's first."""
-    before = np.concatenate([[v], stream[:-1]]).astype(np.int64)
-    before[heads] = v
-    return before * (v + 1) + stream
+
+def _add(table: pa.Table) -> pa.Table:
+    """A state: customers (a) and tables (b) of the words of a bucket, summed over all chunks; on one row also all
+    customers, and how many words have one and two."""
+    table = table.sort_by("chunk")
+    keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in column_of(table, "keys")]
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    a, b = (np.bincount(inverse, np.concatenate([unpack(x.as_py()) for x in column_of(table, name)]).astype(np.float64)) for name in ("a", "b"))
+    cuts = np.cumsum([0, *map(len, keys)])
+    cols = {name: pa.array([pack(v[inverse[x:y]].astype(np.uint64)) for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary()) for name, v in (("a", a), ("b", b))}
+    rest = np.zeros((3, len(keys)))
+    rest[:, 0] = a.sum(), (a == 1).sum(), (a == 2).sum()
+    return pa.table({"chunk": column_of(table, "chunk"), "bucket": column_of(table, "bucket"), **cols, "n": rest[0], "once": rest[1], "twice": rest[2]})
 
 
 def discount(counts: np.ndarray, n: np.ndarray | None = None) -> float:
@@ -129,12 +302,17 @@ def discount(counts: np.ndarray, n: np.ndarray | None = None) -> float:
     return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.05
 
 
+def _uniform(keys: np.ndarray, number: int) -> np.ndarray:
+    return (T.mix(keys ^ T.mix(np.array([number], np.uint64))) >> U(11)) / float(1 << 53)
+
+
 def seat(customers: np.ndarray, base: np.ndarray, d: float, keys: np.ndarray, draw: int) -> np.ndarray:
-    """Tables of each dish after its customers are seated again, one after another, with the other dishes' tables fixed.
+    """Tables of each dish after its customers are seated again, with the other dishes' tables fixed.
 
     A customer opens a table with weight base = (theta + d * all tables) * P(dish | parent), or sits down at one with
-    weight seated - d * tables. Beyond 64 customers a step seats a sixteenth of those seated at once, by the expected
-    number of new tables rounded at random. The same keys and draw give the same tables, on any executor.
+    weight seated - d * tables. For every count alike, customers come in blocks of a sixteenth of those seated, at least
+    one, and a block's chance is the one at its beginning: one customer opens a table with that chance, more open a
+    number with the binomial's mean and variance. The same keys and draw give the same tables, on any executor.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
     order = np.argsort(-customers, kind="stable")
@@ -144,12 +322,16 @@ def seat(customers: np.ndarray, base: np.ndarray, d: float, keys: np.ndarray, dr
         n = int(np.searchsorted(-sizes, -k, "left"))  # dishes with more than k customers
         if not n:
             return tables
-        at = order[:n]
-        step = np.minimum(max(1, k // 16) if k >= 64 else 1, sizes[:n] - k)
+        at, block = order[:n], max(1, k // 16)
+        step = np.minimum(block, sizes[:n] - k)
         p = base[at] / (base[at] + k - d * tables[at])
-        u = T.mix(keys[at] ^ T.mix(np.array([draw * 1_000_003 + k], np.uint64))) >> np.uint64(11)
-        tables[at] += np.floor(step * p + u / float(1 << 53))
-        k += max(1, k // 16) if k >= 64 else 1
+        opened = step * p
+        number = (draw * 1_000_003 + k) * 3
+        if block > 1:
+            x, y = _uniform(keys[at], number + 1), _uniform(keys[at], number + 2)
+            opened += np.where(step > 1, np.sqrt(opened * (1 - p)) * np.sqrt(-2 * np.log1p(-x)) * np.cos(2 * np.pi * y), 0)
+        tables[at] += np.clip(np.floor(opened + _uniform(keys[at], number)), 0, step)
+        k += block
 
 
 class Spelling:
@@ -248,89 +430,103 @@ def _grams(data, offsets, weights):
     return codes, np.bincount(inverse, np.repeat(weights, sizes + 1))
 
 
-def _tables(data, offsets, c, log, total, s: Seating, d: float, draw: int):
-    keys = T.hash_words(data, offsets[:-1], offsets[1:])
-    return seat(c, (s.theta + d * total) * np.exp(log), d, keys, draw)
-
-
-def _sweep(shared, s: Seating, d: float, draw: int):
-    """One Gibbs sweep over training words: tables, summed, and what they send to the spelling restaurants."""
-
-    def run(batches):
-        sums: dict[int, float] = {}
-        total = spelt = 0.0
-        for batch in batches:
-            data, offsets = text_buffers(column(batch, "word").cast(pa.large_binary()).view(pa.large_string()))
-            c = column(batch, "c").to_numpy()
-            if not len(c):
-                continue
-            if shared is None:
-                tables = np.ones(len(c))
-            else:
-                model, before = shared.value
-                log = model.log_word(data, offsets)
-                spelt += np.exp(log).sum()
-                tables = _tables(data, offsets, c, log, before, s, d, draw)
-            total += tables.sum()
-            for code, n in zip(*(x.tolist() for x in _grams(data, offsets, tables)), strict=True):
-                sums[code] = sums.get(code, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *sums], pa.int64()), pa.array([total, spelt, *sums.values()], pa.float64())], names=["code", "n"])
-
-    return run
-
-
-def _score(shared, s: Seating, d: float, n: int):
-    """log10 of each word's predictive probability, averaged over the samples."""
-
-    def run(batches):
-        models, totals, spelt = shared.value
-        new = [(s.theta + d * totals[i + 1]) / (s.theta + n) for i in range(s.sweeps)]
-        unknown = np.mean([new[i] * max(1 - spelt[i], 1e-9) for i in range(s.burn, s.sweeps)])
-        for batch in batches:
-            words = column(batch, "word").cast(pa.large_binary())
-            c = column(batch, "k").to_numpy()
-            known = np.flatnonzero(c)
-            mean = np.full(len(c), unknown)
-            data, offsets = text_buffers(words.take(pa.array(known)).view(pa.large_string()))
-            c_, sums = c[known], np.zeros(len(known))
-            for i in range(s.burn, s.sweeps):
-                log = models[i].log_word(data, offsets)
-                tables = _tables(data, offsets, c_, log, totals[i], s, d, i)
-                sums += (c_ - d * tables) / (s.theta + n) + new[i] * np.exp(log)
-            mean[known] = sums / (s.sweeps - s.burn)
-            yield pa.RecordBatch.from_arrays([column(batch, "chunk"), column(batch, "number"), column(batch, "c"), column(batch, "followers"), pa.array(np.log10(mean).astype(np.float32))], names=["chunk", "number", "c", "followers", "score"])
+@dataclass
+class Level:
+    """What one state has for all words: its spelling sample, all customers and tables of the word restaurant (before:
+    of the state before, which the draws use), and the mass of the known words' spellings."""
+
+    spelling: Spelling
+    customers: float
+    before: float
+    tables: float = 0.0
+    spelt: float = 0.0
+
+    def seated(self, data, offsets, k: np.ndarray, hashes, s: Seating, d: float, draw: int) -> tuple[np.ndarray, np.ndarray]:
+        """(spelling probability, tables) of words with k > 0 customers."""
+        spelt = np.exp(self.spelling.log_word(data, offsets))
+        return spelt, seat(k, (s.theta + d * self.before) * spelt, d, hashes, draw)
+
+    def chance(self, k, tables, spelt, s: Seating, d: float, all_tables: float) -> np.ndarray:
+        """Of words in the word restaurant."""
+        return (np.maximum(k - d * tables, 0) + (s.theta + d * all_tables) * spelt) / (s.theta + self.customers)
+
+
+def _placed(chunk: Chunk, state: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of a chunk's words in a state."""
+    order, _ = _order(chunk.hashes, buckets)
+    out = []
+    for found in _joined(state, "ab"):
+        own = np.zeros(len(order), np.int64)
+        own[order] = found.astype(np.int64)
+        out.append(own)
+    return out[0], out[1]
+
+
+def _sweep(shared, s: Seating, d_word: float, d_pair: float, draw: int, buckets: int):
+    """One Gibbs sweep over a chunk's own words and pairs: the next state's rows, and sums."""
+
+    def run(chunks: pa.Table, state: pa.Table) -> pa.Table:
+        level, out = shared.value, []
+        for r in chunks.to_pylist():
+            chunk = Chunk(r["size"], r["words"])
+            k, tables = _placed(chunk, state, buckets)
+            held = unpack(r["a"]).astype(np.int64)
+            fixed, flags, codes = held[: 2 * chunk.width].reshape(2, -1), held[2 * chunk.width : 3 * chunk.width] > 0, np.cumsum(held[3 * chunk.width :])
+            at = np.flatnonzero(k[: chunk.m + 1])
+            spelt, seated = level.seated(*_some(chunk, at), k[at], chunk.hashes[at], s, d_word, draw)
+            chance = np.zeros(chunk.width)
+            chance[at] = level.chance(k[at], seated, spelt, s, d_word, level.before)
+            before, word = codes // chunk.width, codes % chunk.width
+            drawn = seat(unpack(r["b"]).astype(np.int64), (s.theta + d_pair * tables[before]) * chance[word], d_pair, chunk.keys(codes), draw)
+            out += _state(r["chunk"], chunk, fixed[0] + np.bincount(word, drawn, chunk.width).astype(np.int64), fixed[1] + np.bincount(before, drawn, chunk.width).astype(np.int64), buckets)
+            own = flags[at]
+            grams = _grams(*_some(chunk, at[own]), seated[own])
+            out += _sums({TABLES: seated[own].sum(), SPELT: spelt[own].sum()} | dict(zip(*(x.tolist() for x in grams), strict=True)))
+        return pa.Table.from_batches([_batch(out, _OWN)])
 
     return run
 
 
-def _sum(n: int, v: int, s: Seating, d: float, begun: tuple[int, int]):
-    """begun: training texts, and how many words stand first in one."""
-
-    def run(words: pa.Table, docs: pa.Table) -> pa.Table:
-        followers = column(words, "followers").to_numpy()
-        of_pair = followers < 0
-        at, count = column(words, "number").to_numpy(), column(words, "c").to_numpy()
-        codes, together = at[of_pair], count[of_pair]
-        order = np.argsort(codes)
-        codes, together = codes[order], together[order]
-        at, m = at[~of_pair], int((~of_pair).sum())
-        c, score, tables = np.zeros(m, np.int64), np.zeros(m), np.zeros(m + 1, np.int64)
-        c[at], score[at], tables[at] = count[~of_pair], column(words, "score").to_numpy()[~of_pair], followers[~of_pair]
-        tables[m] = begun[1]
-        customers = np.append(c, begun[0])
-        customers[m - 1] = 0  # nothing follows the end of a text
-        total = s.theta + customers
-        new = (s.theta + d * tables) / total
-        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-        rows = []
-        for ids in column(docs, "ids"):
-            ids = np.frombuffer(ids.as_py(), np.int32)
-            found = _pairs(ids, np.zeros(1, int), m)
-            before = found // (m + 1)
-            own = np.maximum(together[np.searchsorted(codes, found)] - d, 0) / total[before]
-            rows.append((len(ids), int((c[ids] > 0).sum()), float(base[ids].sum()), float(np.log10(own + new[before] * 10.0 ** score[ids]).sum())))
-        n_tokens, known, bases, scores = zip(*rows, strict=True) if rows else [()] * 4
-        return pa.table([column(docs, "doc_id"), column(docs, "held_out"), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([n] * len(rows), pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(shared, s: Seating, d_word: float, d_pair: float, n: int, v: int, texts: int, buckets: int):
+    """log10 of each text's probability: the states' predictive probabilities, averaged word by word."""
+
+    def run(chunks: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        state = column_of(found, "state").to_numpy()
+        for r in chunks.to_pylist():
+            chunk = Chunk(r["size"], r["words"], r["ids"])
+            c, _, together, _ = _counts(chunk, found.filter(pa.array(state < 0)), buckets)
+            customers = np.append(c, texts)
+            customers[chunk.m] = 0  # nothing follows the end of a text
+            before, word = chunk.codes // chunk.width, chunk.codes % chunk.width
+            many = np.flatnonzero(together > 1)
+            many_keys = chunk.keys(chunk.codes[many])
+            drawn = np.minimum(together, 1).astype(np.float64)
+            mean, total = np.zeros(len(chunk.codes)), s.theta + customers[before]
+            at = np.flatnonzero(c)
+            some = _some(chunk, at)
+            for i, level in enumerate(shared.value):
+                k, tables = _placed(chunk, found.filter(pa.array(state == i)), buckets)
+                spelt, seated = level.seated(*some, k[at], chunk.hashes[at], s, d_word, i)
+                if i >= s.burn:
+                    chance = np.full(chunk.width, (s.theta + d_word * level.tables) / (s.theta + level.customers) * max(1 - level.spelt, 1e-9))
+                    chance[at] = level.chance(k[at], seated, spelt, s, d_word, level.tables)
+                    mean += (np.maximum(together - d_pair * drawn, 0) + (s.theta + d_pair * tables[before]) * chance[word]) / total
+                chance = np.zeros(chunk.width)
+                chance[at] = level.chance(k[at], seated, spelt, s, d_word, level.before)
+                drawn[many] = seat(together[many], (s.theta + d_pair * tables[before[many]]) * chance[word[many]], d_pair, many_keys, i)
+            score = np.log10(mean / (len(shared.value) - s.burn))
+            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+            per = [np.add.reduceat(x, chunk.heads) for x in ((c > 0)[chunk.stream].astype(np.int64), base[chunk.stream], score[chunk.inverse])]
+            sizes = np.diff(np.append(chunk.heads, len(chunk.stream)))
+            out.append(pa.RecordBatch.from_arrays(
+                [pa.array(r["docs"], pa.int64()), pa.array(np.frombuffer(r["held"], bool)), pa.array(sizes), pa.array(per[0]), pa.array(np.full(len(sizes), n, np.int64)), pa.array(per[1]), pa.array(per[2])],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            ))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_batch([], _SCORE)])
 
     return run
 
@@ -339,11 +535,14 @@ def score_texts(docs: DataFrame, s: Seating = Seating()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents (doc_id, text).
 
     1. A scan cuts the texts into chunks of bounded size and numbers each chunk's distinct words.
-    2. The chunks' words, and their pairs of a word and the one before, meet once, by the word or pair: counts of all
-       training documents. Each comes from a chunk once, however often it stands there, so none is hot.
-    3. Gibbs sweeps over the distinct words; the spelling restaurants' customers, at most 258 * 258 * 257 sums, go to
-       the driver, which seats them and broadcasts the sample.
-    4. Each chunk gets its words' scores back and sums them over its texts.
+    2. Each chunk sends the hashes (64 bits) of its words and of its pairs of a word and the one before, with their
+       training counts, to buckets, packed; the number of buckets follows the bytes of text. A bucket sums each key over
+       the chunks and answers each chunk in its order. A key comes from a chunk once, so none is hot. The first chunk
+       that has a key owns it.
+    3. Gibbs sweeps: a chunk seats its own words and pairs. What a pair's tables bring to its word, and to the restaurant
+       of the word before, goes through buckets like the counts and makes the next state. The spelling restaurants'
+       customers, at most 258 * 258 * 257 sums, go to the driver, which seats them and broadcasts the sample.
+    4. Each chunk draws the states' tables of all its words and pairs again, which gives the owner's, and scores its texts.
 
     Words are lower-cased (A-Z) stretches without white space; a null, blank or empty text is its end token alone. A
     null doc_id is in training. base_score: unigrams with half a count added to each word and one unknown. score: log10
@@ -352,56 +551,57 @@ def score_texts(docs: DataFrame, s: Seating = Seating()) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    path = new_path(spark, "index")
-    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "3")  # a file for each kind, instead of a sort by it
-    only(docs, "doc_id", "text").mapInArrow(_index(s), _ROW).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
-    index = spark.read.schema(_ROW).parquet(path)
-    small_batches(spark, 20_000)
-    word = Window.partitionBy("word")
-    pair = Window.partitionBy("hash", "before")
-    pairs = index.where("kind = 2").select("hash", "before", "chunk", "number", F.col("c").alias("own"))
-    pairs = stage(pairs.select("hash", "before", "chunk", "number", F.sum("own").over(pair).alias("c"), (F.row_number().over(pair.orderBy("chunk")) == 1).alias("once")), "pairs")
-    drop_path(spark, f"{path}/kind=2")
+    docs = only(docs, "doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // s.bucket_bytes))
+    chunks = stage(docs.mapInArrow(_index(s), _CHUNK), "chunks")
+    small_batches(spark, 1)  # a row is a chunk
+    replies = chunks.mapInArrow(_offers(buckets), _OFFER).groupBy("bucket").applyInArrow(_merge, "chunk long, bucket long, a binary")
+    replies = stage(replies, "counts")
     release(spark)
-    distinct = pairs.where("once and c > 0")
-    seen = lambda c, n: distinct.groupBy(F.col(c).alias("hash")).agg(F.count("*").alias(n))
-    first = seen("before", "followers").where(F.col("hash") == int(BEGIN_HASH.view(np.int64))).first()
-    few = {r["c"]: r["n"] for r in distinct.where("c <= 2").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    d_pair = discount(np.array([1, 2]), np.array([few.get(1, 0), few.get(2, 0)]))
-    words = index.where("kind = 0").select("word", "hash", "chunk", "number", F.col("c").alias("own"))
-    words = words.select("word", "hash", "chunk", "number", F.sum("own").over(word).alias("c"), (F.row_number().over(word.orderBy("chunk")) == 1).alias("once"))
-    words = words.join(seen("hash", "k"), "hash", "left").join(seen("before", "followers"), "hash", "left").fillna(0, ["k", "followers"])
-    words = stage(words, "words")
-    drop_path(spark, f"{path}/kind=0")
+    by = lambda frame: frame.groupBy("chunk")
+    first = _by_kind(by(chunks.select("chunk", "held", "size", "words", "ids")).cogroup(by(replies)).applyInArrow(_own(buckets), _OWN))
+    own = first.where("kind = 0").select("chunk", "a", "b", "size", "words")
+    levels, states, rows = [], [], first
+    while True:
+        release(spark)
+        state = rows.where("kind = 1").select("bucket", "chunk", "keys", "a", "b").groupBy("bucket").applyInArrow(_add, _STATE)
+        states.append(stage(state, "state"))
+        sums = {r["code"]: r["n"] for r in rows.where("kind = 2").groupBy("code").agg(F.sum("n").alias("n")).collect()}
+        seen = states[-1].agg(*(F.sum(c).alias(c) for c in ("n", "once", "twice"))).first()
+        if not levels:
+            known = {c: int(sums.pop(c, 0)) for c in (ONCE, TWICE, TOKENS, KINDS, TEXTS)}
+            pair, word = (discount(np.array([1, 2]), np.array([x or 0, y or 0])) for x, y in ((known[ONCE], known[TWICE]), (seen["once"], seen["twice"])))
+        else:
+            levels[-1].tables, levels[-1].spelt = sums.pop(TABLES, 0.0), sums.pop(SPELT, 0.0)
+        if len(levels) > s.sweeps:
+            states.pop()  # the last sweep was for the sums of the last state
+            break
+        spelling = Spelling({c: int(x) for c, x in sums.items()}, s, s.seed + len(levels))
+        levels.append(Level(spelling, seen["n"] or 0.0, levels[-1].tables if levels else known[KINDS]))
+        shared = spark.sparkContext.broadcast(levels[-1])
+        rows = _by_kind(by(own).cogroup(by(states[-1].select("chunk", "bucket", "a", "b"))).applyInArrow(_sweep(shared, s, word, pair, len(levels) - 1, buckets), _OWN))
     release(spark)
-    known = words.where("once and c > 0")
-    totals = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = totals["n"] or 0, totals["v"]
-    known = known.select("word", F.col("k").alias("c"))
-    seated = known.agg(F.sum("c")).first()[0] or 0
-    begun = (index.where("kind = 1 and not held_out").count(), first["followers"] if first else 0)
-    few = {r["c"]: r["n"] for r in known.where("c <= 2").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    d = discount(np.array([1, 2]), np.array([few.get(1, 0), few.get(2, 0)]))
-    models, tables, spelt, shared = [], [], [], None
-    for sweep in range(s.sweeps + 1):
-        rows = known.select("word", "c").mapInArrow(_sweep(shared, s, d, sweep - 1), "code long, n double").groupBy("code").agg(F.sum("n").alias("n")).collect()
-        sums = {r["code"]: r["n"] for r in rows}
-        tables.append(sums.pop(-1, 0.0))
-        spelt.append(sums.pop(-2, 0.0))
-        if sweep < s.sweeps:
-            models.append(Spelling({c: int(x) for c, x in sums.items()}, s, s.seed + sweep))
-            shared = spark.sparkContext.broadcast((models[-1], tables[-1]))
-    shared = spark.sparkContext.broadcast((models, tables, spelt[1:]))
-    scored = words.select("word", "c", "k", "followers", "chunk", "number").mapInArrow(_score(shared, s, d, seated), "chunk long, number long, c long, followers long, score float")
-    scored = scored.union(pairs.select("chunk", "number", "c", F.lit(-1).cast("long"), F.lit(0).cast("float")))
-    texts = index.where("kind = 1").select("chunk", "doc_id", "held_out", "ids")
-    out = scored.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_sum(n, v, s, d_pair, begun), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    shared = spark.sparkContext.broadcast(levels)
+    found = replies.select("chunk", F.lit(-1).alias("state"), "bucket", "a", F.lit(None).cast("binary").alias("b"))
+    for i, state in enumerate(states):
+        found = found.unionByName(state.select("chunk", F.lit(i).alias("state"), "bucket", "a", "b"))
+    out = by(chunks).cogroup(by(found)).applyInArrow(_score(shared, s, word, pair, known[TOKENS], known[KINDS], known[TEXTS], buckets), _SCORE)
     out = stage(out, "scores")
     small_batches(spark)
     return out
 
 
+def _by_kind(rows: DataFrame) -> DataFrame:
+    """Staged, the kinds in files of their own."""
+    spark = rows.sparkSession
+    path = new_path(spark, "rows")
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "3")  # a file for each kind, instead of a sort by it
+    rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
+    return spark.read.schema(_OWN).parquet(path)
+
+
 def perplexity(scores: DataFrame) -> DataFrame:
     """Per fold: tokens, and the model's and the base's perplexity."""
     per = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
