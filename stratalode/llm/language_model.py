@@ -303,35 +303,64 @@ def discount(counts: np.ndarray, n: np.ndarray | None = None) -> float:
 
 
 def _uniform(keys: np.ndarray, number: int) -> np.ndarray:
-    return (T.mix(keys ^ T.mix(np.array([number], np.uint64))) >> U(11)) / float(1 << 53)
+    """A number in [0, 1) for each key, a hash; another number, other ones."""
+    return ((keys * (T.mix(np.array([number], np.uint64)) | U(1))) >> U(11)) / float(1 << 53)
+
+
+def _binomial(n: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Successes of n trials from uniform numbers, by inversion; beyond a mean of 12 rounded from the normal limit."""
+    mean, out = n * p, np.zeros(len(n))
+    wide = mean > 12
+    at = np.flatnonzero(wide)
+    if len(at):
+        z = np.sqrt(-2 * np.log1p(-x[at])) * np.cos(2 * np.pi * y[at])
+        out[at] = np.clip(np.rint(mean[at] + np.sqrt(mean[at] * (1 - p[at])) * z), 0, n[at])
+    at = np.flatnonzero(~wide)
+    n, odds, x = n[at], p[at] / (1 - p[at]), x[at]
+    term = np.exp(n * np.log1p(-p[at]))
+    left, k = x - term, 0
+    while True:
+        more = np.flatnonzero((left >= 0) & (n > k))
+        if not len(more):
+            return out
+        at, n, odds, left, term = at[more], n[more], odds[more], left[more], term[more]
+        k += 1
+        out[at] = k
+        term = term * odds * (n - k + 1) / k
+        left = left - term
 
 
 def seat(customers: np.ndarray, base: np.ndarray, d: float, keys: np.ndarray, draw: int) -> np.ndarray:
     """Tables of each dish after its customers are seated again, with the other dishes' tables fixed.
 
     A customer opens a table with weight base = (theta + d * all tables) * P(dish | parent), or sits down at one with
-    weight seated - d * tables. For every count alike, customers come in blocks of a sixteenth of those seated, at least
-    one, and a block's chance is the one at its beginning: one customer opens a table with that chance, more open a
-    number with the binomial's mean and variance. The same keys and draw give the same tables, on any executor.
+    weight seated - d * tables. For every count alike, customers come in blocks of an eighth of those seated, at least
+    one; those of a block see the chance at its middle, with the tables at its beginning, and the number of tables they
+    open is binomial. The same keys and draw give the same tables, on any executor.
     """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    order = np.argsort(-customers, kind="stable")
-    sizes = customers[order]
-    k = 1
-    while True:
-        n = int(np.searchsorted(-sizes, -k, "left"))  # dishes with more than k customers
-        if not n:
-            return tables
-        at, block = order[:n], max(1, k // 16)
-        step = np.minimum(block, sizes[:n] - k)
-        p = base[at] / (base[at] + k - d * tables[at])
-        opened = step * p
-        number = (draw * 1_000_003 + k) * 3
-        if block > 1:
-            x, y = _uniform(keys[at], number + 1), _uniform(keys[at], number + 2)
-            opened += np.where(step > 1, np.sqrt(opened * (1 - p)) * np.sqrt(-2 * np.log1p(-x)) * np.cos(2 * np.pi * y), 0)
-        tables[at] += np.clip(np.floor(opened + _uniform(keys[at], number)), 0, step)
+    order = np.argsort((65535 - np.minimum(customers, 65535)).astype(np.uint16), kind="stable")
+    out = np.empty(len(order))
+    for at in range(0, len(order), 1 << 15):  # so many that they stay in a core's cache
+        own = order[at : at + (1 << 15)]
+        out[own] = _seat(customers[own], base[own], d, keys[own], draw)
+    return out
+
+
+def _seat(sizes, base, d, keys, draw):
+    """Of dishes with the most customers first; beyond 65535 in any order."""
+    tables, most, k = np.minimum(sizes, 1).astype(np.float64), int(sizes.max()), 1
+    fewest = -np.minimum(sizes, 65535)
+    while k < most:
+        n = int(np.searchsorted(fewest, -min(k, 65534), "left"))  # dishes with more than k customers
+        block, number = max(1, k // 8), (draw * 1_000_003 + k) * 3
+        weight = base[:n] + k - d * tables[:n]
+        if block == 1:
+            tables[:n] += _uniform(keys[:n], number) * weight < base[:n]
+        else:
+            step, p = np.clip(sizes[:n] - k, 0, block), base[:n] / (weight + (block - 1) / 2)
+            tables[:n] += _binomial(step, p, _uniform(keys[:n], number), _uniform(keys[:n], number + 1))
         k += block
+    return tables
 
 
 class Spelling:
@@ -426,8 +455,12 @@ def _grams(data, offsets, weights):
     one[heads] = 257
     two = np.concatenate([[257], one[:-1]])
     two[heads] = 257
-    codes, inverse = np.unique((two * 258 + one) * 258 + stream, return_inverse=True)
-    return codes, np.bincount(inverse, np.repeat(weights, sizes + 1))
+    there = np.flatnonzero(np.bincount(stream, minlength=258) + (np.arange(258) == 257))
+    code, m = np.zeros(258, np.int64), len(there)
+    code[there] = np.arange(m)
+    sums = np.bincount((code[two] * m + code[one]) * m + code[stream], np.repeat(weights, sizes + 1))
+    found = np.flatnonzero(sums)
+    return (there[found // (m * m)] * 258 + there[found // m % m]) * 258 + there[found % m], sums[found]
 
 
 @dataclass
@@ -451,9 +484,8 @@ class Level:
         return (np.maximum(k - d * tables, 0) + (s.theta + d * all_tables) * spelt) / (s.theta + self.customers)
 
 
-def _placed(chunk: Chunk, state: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _placed(order: np.ndarray, state: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Customers and tables of a chunk's words in a state."""
-    order, _ = _order(chunk.hashes, buckets)
     out = []
     for found in _joined(state, "ab"):
         own = np.zeros(len(order), np.int64)
@@ -463,25 +495,29 @@ def _placed(chunk: Chunk, state: pa.Table, buckets: int) -> tuple[np.ndarray, np
 
 
 def _sweep(shared, s: Seating, d_word: float, d_pair: float, draw: int, buckets: int):
-    """One Gibbs sweep over a chunk's own words and pairs: the next state's rows, and sums."""
+    """One Gibbs sweep over a chunk's own words and pairs: the next state's rows, and sums. After the last state's words
+    nothing follows, so only sums come."""
 
     def run(chunks: pa.Table, state: pa.Table) -> pa.Table:
         level, out = shared.value, []
         for r in chunks.to_pylist():
             chunk = Chunk(r["size"], r["words"])
-            k, tables = _placed(chunk, state, buckets)
+            order, _ = _order(chunk.hashes, buckets)
+            k, tables = _placed(order, state)
             held = unpack(r["a"]).astype(np.int64)
             fixed, flags, codes = held[: 2 * chunk.width].reshape(2, -1), held[2 * chunk.width : 3 * chunk.width] > 0, np.cumsum(held[3 * chunk.width :])
             at = np.flatnonzero(k[: chunk.m + 1])
             spelt, seated = level.seated(*_some(chunk, at), k[at], chunk.hashes[at], s, d_word, draw)
+            own = flags[at]
+            out += _sums({TABLES: seated[own].sum(), SPELT: spelt[own].sum()})
+            if draw == s.sweeps:
+                continue
             chance = np.zeros(chunk.width)
             chance[at] = level.chance(k[at], seated, spelt, s, d_word, level.before)
             before, word = codes // chunk.width, codes % chunk.width
             drawn = seat(unpack(r["b"]).astype(np.int64), (s.theta + d_pair * tables[before]) * chance[word], d_pair, chunk.keys(codes), draw)
             out += _state(r["chunk"], chunk, fixed[0] + np.bincount(word, drawn, chunk.width).astype(np.int64), fixed[1] + np.bincount(before, drawn, chunk.width).astype(np.int64), buckets)
-            own = flags[at]
-            grams = _grams(*_some(chunk, at[own]), seated[own])
-            out += _sums({TABLES: seated[own].sum(), SPELT: spelt[own].sum()} | dict(zip(*(x.tolist() for x in grams), strict=True)))
+            out += _sums(dict(zip(*(x.tolist() for x in _grams(*_some(chunk, at[own]), seated[own])), strict=True)))
         return pa.Table.from_batches([_batch(out, _OWN)])
 
     return run
@@ -507,14 +543,16 @@ def _score(shared, s: Seating, d_word: float, d_pair: float, n: int, v: int, tex
             drawn = np.minimum(together, 1).astype(np.float64)
             mean, total = np.zeros(len(chunk.codes)), s.theta + customers[before]
             at = np.flatnonzero(c)
-            some = _some(chunk, at)
+            some, (order, _) = _some(chunk, at), _order(chunk.hashes, buckets)
             for i, level in enumerate(shared.value):
-                k, tables = _placed(chunk, found.filter(pa.array(state == i)), buckets)
+                k, tables = _placed(order, found.filter(pa.array(state == i)))
                 spelt, seated = level.seated(*some, k[at], chunk.hashes[at], s, d_word, i)
                 if i >= s.burn:
                     chance = np.full(chunk.width, (s.theta + d_word * level.tables) / (s.theta + level.customers) * max(1 - level.spelt, 1e-9))
                     chance[at] = level.chance(k[at], seated, spelt, s, d_word, level.tables)
                     mean += (np.maximum(together - d_pair * drawn, 0) + (s.theta + d_pair * tables[before]) * chance[word]) / total
+                if i == s.sweeps:
+                    break
                 chance = np.zeros(chunk.width)
                 chance[at] = level.chance(k[at], seated, spelt, s, d_word, level.before)
                 drawn[many] = seat(together[many], (s.theta + d_pair * tables[before[many]]) * chance[word[many]], d_pair, many_keys, i)
@@ -565,18 +603,18 @@ def score_texts(docs: DataFrame, s: Seating = Seating()) -> DataFrame:
     levels, states, rows = [], [], first
     while True:
         release(spark)
+        sums = {r["code"]: r["n"] for r in rows.where("kind = 2").groupBy("code").agg(F.sum("n").alias("n")).collect()}
+        if len(levels) > s.sweeps:
+            levels[-1].tables, levels[-1].spelt = sums.pop(TABLES, 0.0), sums.pop(SPELT, 0.0)
+            break
         state = rows.where("kind = 1").select("bucket", "chunk", "keys", "a", "b").groupBy("bucket").applyInArrow(_add, _STATE)
         states.append(stage(state, "state"))
-        sums = {r["code"]: r["n"] for r in rows.where("kind = 2").groupBy("code").agg(F.sum("n").alias("n")).collect()}
         seen = states[-1].agg(*(F.sum(c).alias(c) for c in ("n", "once", "twice"))).first()
         if not levels:
             known = {c: int(sums.pop(c, 0)) for c in (ONCE, TWICE, TOKENS, KINDS, TEXTS)}
             pair, word = (discount(np.array([1, 2]), np.array([x or 0, y or 0])) for x, y in ((known[ONCE], known[TWICE]), (seen["once"], seen["twice"])))
         else:
             levels[-1].tables, levels[-1].spelt = sums.pop(TABLES, 0.0), sums.pop(SPELT, 0.0)
-        if len(levels) > s.sweeps:
-            states.pop()  # the last sweep was for the sums of the last state
-            break
         spelling = Spelling({c: int(x) for c, x in sums.items()}, s, s.seed + len(levels))
         levels.append(Level(spelling, seen["n"] or 0.0, levels[-1].tables if levels else known[KINDS]))
         shared = spark.sparkContext.broadcast(levels[-1])

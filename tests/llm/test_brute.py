@@ -204,3 +204,16 @@ def test_pipeline(spark, sf_dir, duck):
             assert t == open_[i]
     check_packing(docs.collect(), ids_of({i: t or "" for i, t in masked.items()}, "byte_bpe_50k.json", 0))
     assert decontamination.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).count() == len(start)
+
+
+@pytest.mark.parametrize(("c", "base", "d"), [(2, 0.5, 0.7), (3, 0.5, 0.7), (10, 2.0, 0.8), (200, 5.0, 0.7), (3000, 50.0, 0.7), (100_000, 3.0, 0.5)])
+def test_seating_equals_one_customer_after_another(c, base, d):
+    from stratalode.llm import language_model, text
+
+    rng, n = np.random.RandomState(1), 4000
+    got = np.concatenate([language_model.seat(np.full(n, c), np.full(n, base), d, text.mix(np.arange(n, dtype=np.uint64)), i) for i in range(4)])
+    want = np.ones(n)
+    for k in range(1, c):
+        want += rng.rand(n) < base / (base + k - d * want)
+    assert abs(got.mean() - want.mean()) < 5 * want.std() / math.sqrt(n) + 0.01 * want.mean() and 0.9 < got.std() / want.std() < 1.1
+    assert got.min() >= 1 and got.max() <= c
