@@ -53,19 +53,25 @@ def local_autocorr(samples: Samples, metric: int | str, k: int, search: Search)
     near = weights(edges(samples, k, search, drop_self=True), "idw" if metric == MORAN else "binary")
     own = plain.select(F.col("id").alias("i"), *(F.col(c).alias(f"z_{c}") for c in v))
     other = plain.select(F.col("id").alias("j"), *(F.col(c).alias(f"n_{c}") for c in v))
-    rows = near.join(other, "j").join(own, "i")
     n, w = F.count("*").alias("n"), F.col("w")
+    rows = near.join(other, "j").groupBy("i")
     if metric == GETIS:
+        found = rows.agg(n, F.sum(w).alias("sw"), *(F.sum(w * F.col(f"n_{c}")).alias(f"s_{c}") for c in v)).join(own, "i")
         total = F.greatest(F.lit(1e-10), sum((F.col(f"z_{c}") for c in v[1:]), F.col(f"z_{v[0]}")))
-        found = rows.groupBy("i", *(f"z_{c}" for c in v)).agg(n, *(F.sum(w * F.col(f"n_{c}")).alias(f"s_{c}") for c in v), F.sum(w).alias("sw"))
         values = {c: F.col(f"s_{c}") / (total * F.col("sw")) for c in v}
     else:
-        per = Window.partitionBy("i")
-        rows = rows.select("*", F.sum(w).over(per).alias("sw"), *((F.sum(w * F.col(f"n_{c}")).over(per) / F.sum(w).over(per)).alias(f"m_{c}") for c in v))
-        sign = {c: F.when((F.col(f"z_{c}") < 0) & (F.col(f"n_{c}") < 0), -1.0).otherwise(1.0) for c in v}
-        sums = [x for c in v for x in (F.sum(sign[c] * w * F.col(f"z_{c}") * F.col(f"n_{c}")).alias(f"s_{c}"), F.sum(w * (F.col(f"n_{c}") - F.col(f"m_{c}")) ** 2).alias(f"q_{c}"))]
-        found = rows.groupBy("i").agg(n, F.sum(w).alias("sw"), *sums)
-        values = {c: F.col(f"s_{c}") / (F.greatest(F.col(f"q_{c}") / F.col("sw"), F.lit(1e-8)) * F.col("sw")) for c in v}
+        # the sample's own value is a factor of every product, so it joins once, after the sums over neighbours; those
+        # are of gaps from one neighbour's value, which keeps the variance exact where the values lie far from zero
+        gap = {c: F.col(f"n_{c}") - F.first(f"n_{c}").over(Window.partitionBy("i")) for c in v}
+        sums = [x for c in v for x in (
+            F.sum(w * F.col(f"n_{c}")).alias(f"s_{c}"), F.sum(F.when(F.col(f"n_{c}") < 0, w * F.col(f"n_{c}"))).alias(f"b_{c}"),
+            F.sum(w * F.col(f"g_{c}")).alias(f"m_{c}"), F.sum(w * F.col(f"g_{c}") * F.col(f"g_{c}")).alias(f"q_{c}"),
+        )]
+        rows = near.join(other, "j").select("i", "w", *(f"n_{c}" for c in v), *(gap[c].alias(f"g_{c}") for c in v)).groupBy("i")
+        found = rows.agg(n, F.sum(w).alias("sw"), *sums).join(own, "i")
+        top = {c: F.col(f"z_{c}") * (F.col(f"s_{c}") - F.when(F.col(f"z_{c}") < 0, 2 * F.coalesce(f"b_{c}", F.lit(0.0))).otherwise(0.0)) for c in v}
+        spread = {c: F.col(f"q_{c}") / F.col("sw") - (F.col(f"m_{c}") / F.col("sw")) ** 2 for c in v}
+        values = {c: top[c] / (F.greatest(spread[c], F.lit(1e-8)) * F.col("sw")) for c in v}
     found = found.select(F.col("i").alias("id"), "n", *(values[c].alias(f"a_{c}") for c in v))
     return plain.join(found, "id", "left").select("id", *(F.when(F.col("n") > 1, F.col(f"a_{c}")).otherwise(F.col(c)).alias(f"a_{c}") for c in v))
 

@@ -80,47 +80,100 @@ def knn(queries: DataFrame, points: DataFrame, k: int, dims: int, by_group: bool
     return grid_knn(queries, points, k, dims, by_group, reach)
 
 
-def grid_knn(queries: DataFrame, points: DataFrame, k: int, dims: int, by_group: bool = False, reach: float | None = None, rounds: int = 12) -> DataFrame:
-    """knn() by equal cells: each query meets the points of its own and the adjacent cells; it is done if its k-th
-    neighbour is no farther than the rim of those cells, else it goes another round with cells three times as wide. The last
-    round's cells span all points, so every query is answered exactly."""
+#: Queries that cells leave open and that go to all points by broadcast, a block at a time.
+OPEN_QUERIES = 4096
+
+
+def _open(shared, k: int, dims: int, by_group: bool):
+    """For a few queries, the k nearest of a task's points in each group."""
+
+    def run(batches):
+        asked, q = shared.value
+        best: dict = {}
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            points = np.stack([batch.column(1 + d).to_numpy() for d in range(dims)], 1) if len(ids) else np.empty((0, dims))
+            groups = batch.column(1 + dims).to_numpy() if by_group else np.zeros(len(ids), np.int64)
+            for g in np.unique(groups).tolist():
+                own = np.flatnonzero(groups == g)
+                for at in range(0, len(own), 2048):
+                    some = own[at : at + 2048]
+                    for low in range(0, len(q), 512):
+                        d2 = np.zeros((len(q[low : low + 512]), len(some)))
+                        for d in range(dims):
+                            gap = q[low : low + 512, d, None] - points[None, some, d]
+                            d2 += gap * gap
+                        held = best.get((g, low))
+                        name = np.broadcast_to(ids[some], d2.shape)
+                        if held is not None:
+                            d2, name = np.concatenate([held[0], d2], 1), np.concatenate([held[1], name], 1)
+                        order = np.lexsort((name, d2), axis=1)[:, :k]
+                        best[g, low] = np.take_along_axis(d2, order, 1), np.take_along_axis(name, order, 1)
+        for (g, low), (d2, name) in best.items():
+            columns = [pa.array(np.repeat(asked[low : low + 512], d2.shape[1])), pa.array(name.reshape(-1)), pa.array(d2.reshape(-1)), pa.array(np.full(d2.size, g))]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "id", "d2", "grp"])
+
+    return run
+
+
+def grid_knn(queries: DataFrame, points: DataFrame, k: int, dims: int, by_group: bool = False, reach: float | None = None, rounds: int = 24) -> DataFrame:
+    """knn() by equal cells: each query meets the points of its own and the adjacent cells. It is done if it has its k (or
+    a smaller group's all) and the last is no farther than the rim of those cells, or if the rim is beyond reach; else it
+    goes another round with cells three times as wide.
+
+    Of points at one place only the k of least id can be neighbours; the others leave first. The first cells are so
+    narrow that the fullest holds few points, so clusters are answered there. What the rounds leave open, points far out
+    or of small groups, is measured against all points: the queries go to every task, OPEN_QUERIES at a time, and no cell
+    gathers the points.
+    """
     coords = [f"r{d}" for d in range(dims)]
     groups = ["grp"] if by_group else []
-    points = points.select("id", *coords, *groups)
+    place = Window.partitionBy(*coords, *groups).orderBy("id")
+    points = points.select("id", *coords, *groups).withColumn("at", F.row_number().over(place)).where(F.col("at") <= k).drop("at")
     box = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in coords for f in (F.min, F.max))).first()
     spans = [max(box[f"max_{c}"] - box[f"min_{c}"], 1e-12) for c in coords]
-    per_cell = max(2 * k, 16) / 3**dims * (points.select("grp").distinct().count() if by_group else 1)
+    sizes = [r["n"] for r in points.groupBy("grp").agg(F.count("*").alias("n")).collect()] if by_group else [box["n"]]
+    wanted = sum(min(k, n) for n in sizes)
+    per_cell = max(2 * k, 16) / 3**dims * len(sizes)
     width = max((np.prod(spans) * per_cell / box["n"]) ** (1 / dims), max(spans) * 1e-6)
+    cells = lambda prefix, w: [F.floor((F.col(f"{prefix}{c}") - F.lit(box[f"min_{c}"])) / w).cast("long") for c in coords]
+    while width > max(spans) * 1e-6:
+        full = points.groupBy(*cells("", width)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if full <= 16 * per_cell + k:
+            break
+        width /= 3
     left, out = queries.select("id", *coords), None
-    for turn in range(rounds):
-        last = turn == rounds - 1 or width >= max(spans)
-        cell = lambda c, w=width: F.floor((F.col(c) - F.lit(box[f"min_{c}"])) / w)
-        if last:  # everything meets everything that is left
-            cells = [F.lit(0)] * dims
-            near, steps = points.withColumn("cell", F.array(*cells)), [tuple([0] * dims)]
-        else:
-            cells = [cell(c) for c in coords]
-            near, steps = points.withColumn("cell", F.array(*(c.cast("long") for c in cells))), list(itertools.product((-1, 0, 1), repeat=dims))
-        moves = F.array(*(F.array(*((c + s).cast("long") for c, s in zip(cells, step, strict=True))) for step in steps))
-        near = near.withColumn("cell", F.transform("cell", lambda x: x.cast("long")))
-        asked = left.select(F.col("id").alias("i"), *(F.col(c).alias(f"q_{c}") for c in coords), F.explode(moves).alias("cell"))
+    steps = list(itertools.product((-1, 0, 1), repeat=dims))
+    for _ in range(rounds):
+        if width >= max(spans) or not left.limit(OPEN_QUERIES + 1).count() > OPEN_QUERIES:
+            break
+        near = points.withColumn("cell", F.array(*cells("", width)))
+        moves = F.array(*(F.array(*(c + F.lit(s) for c, s in zip(cells("q_", width), step, strict=True))) for step in steps))
+        asked = left.select(F.col("id").alias("i"), *(F.col(c).alias(f"q_{c}") for c in coords)).select("*", F.explode(moves).alias("cell"))
         pairs = asked.join(near, "cell").withColumn("d2", squared_distance([F.col(f"q_{c}") for c in coords], [F.col(c) for c in coords]))
         rank = F.row_number().over(Window.partitionBy("i", *groups).orderBy("d2", "id"))
-        found = pairs.withColumn("rk", rank.cast("long")).where(F.col("rk") <= k).persist()
-        if last:
-            done = found
-        else:
-            # the rim: the nearest border of the block of cells around a query
-            inner = [F.pmod(F.col(f"q_{c}") - F.lit(box[f"min_{c}"]), F.lit(width)) for c in coords]
-            edge = F.least(*(x + width for x in inner), *(2 * width - x for x in inner))
-            found = found.withColumn("rim", edge)
-            wanted = k * (points.select("grp").distinct().count() if by_group else 1)
-            complete = found.groupBy("i").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("rim").alias("rim")).where((F.col("n") >= wanted) & (F.sqrt("far") <= F.col("rim"))).select("i")
-            done = found.join(complete, "i", "left_semi")
-            left = left.join(complete.select(F.col("i").alias("id")), "id", "left_anti").persist()
-        done = done.select("i", "rk", F.col("id").alias("j"), "d2", *groups)
+        # the rim: the nearest border of the block of cells around a query
+        inner = [F.pmod(F.col(f"q_{c}") - F.lit(box[f"min_{c}"]), F.lit(width)) for c in coords]
+        rim = F.least(*(x + width for x in inner), *(2 * width - x for x in inner))
+        found = pairs.withColumn("rk", rank.cast("long")).where(F.col("rk") <= k).withColumn("rim", rim).persist()
+        whole = (F.col("n") >= wanted) & (F.sqrt("far") <= F.col("rim"))
+        if reach is not None:
+            whole |= F.col("rim") >= reach
+        complete = found.groupBy("i").agg(F.count("*").alias("n"), F.max("d2").alias("far"), F.first("rim").alias("rim")).where(whole).select("i")
+        done = found.join(complete, "i", "left_semi").select("i", "rk", F.col("id").alias("j"), "d2", *groups)
         out = done if out is None else out.unionByName(done)
-        if last or not left.limit(1).count():
-            break
+        left = left.join(complete.select(F.col("i").alias("id")), "id", "left_anti").persist()
         width *= 3
+    n = left.count()
+    blocks = -(-n // OPEN_QUERIES)
+    for block in range(blocks):
+        own = left.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+        asked = own.column("id").to_numpy(), np.stack([own.column(c).to_numpy() for c in coords], 1)
+        shared = queries.sparkSession.sparkContext.broadcast(asked)
+        found = points.mapInArrow(_open(shared, k, dims, by_group), "i long, id long, d2 double, grp long")
+        rank = F.row_number().over(Window.partitionBy("i", "grp").orderBy("d2", "id"))
+        done = found.withColumn("rk", rank.cast("long")).where(F.col("rk") <= k).select("i", "rk", F.col("id").alias("j"), "d2", *groups)
+        out = done if out is None else out.unionByName(done)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], "i long, rk long, j long, d2 double" + ", grp long" * by_group)
     return out.where(F.col("d2") <= reach * reach) if reach is not None else out

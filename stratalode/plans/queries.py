@@ -430,8 +430,7 @@ def pairings_weighted(spark, sf):
     select b.id, r.base as cluster, {R('coalesce(s, 0) / r')} as p from base b, r left join t on t.i = b.id and t.base = r.base"""
 )
 def cluster_probability(spark, sf):
-    pairs = pairings.pairings(X.labels(spark, sf))
-    return X.rounded(pairings.cluster_probability(pairs, X.base(spark, sf).withColumnRenamed("base", "cluster")))
+    return X.rounded(pairings.membership(X.labels(spark, sf), X.base(spark, sf).withColumnRenamed("base", "cluster")))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Queries over the whole table, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 
 from stratalode.operators import ensembles
 from stratalode.plans import fixtures as X
@@ -52,3 +53,73 @@ def test_krigecluster_of_every_sample_code_and_variable(spark, tmp_path):
             now[i] = (0, 3, 9)[int(np.argmin(errors))]
         want |= {(real, int(i)): int(c) for i, c in zip(ids, now, strict=True)}
     assert got == want
+
+
+def test_consensus_of_a_hundred_realisations(spark):
+    from stratalode.operators import pairings
+
+    rng = np.random.RandomState(2)
+    n, reals = 2000, 100
+    base = rng.randint(1, 5, n)
+    codes = np.where(rng.rand(reals, n) < rng.uniform(0.2, 0.9, (reals, 1)), base, rng.randint(1, 5, (reals, n)))
+    rows = pa.table({"real": np.repeat(np.arange(reals), n), "id": np.tile(np.arange(n), reals), "cluster": codes.reshape(-1)})
+    labels, frame = spark.createDataFrame(rows.to_pandas()), spark.createDataFrame([(i, int(b)) for i, b in enumerate(base)], "id long, base long")
+
+    def ari(c):
+        t = np.zeros((5, 5))
+        np.add.at(t, (base, c), 1)
+        two = lambda x: (x * (x - 1) / 2).sum()
+        chance = two(t.sum(1)) * two(t.sum(0)) / two(np.array([n]))
+        return (two(t) - chance) / (0.5 * (two(t.sum(1)) + two(t.sum(0))) - chance)
+
+    u = np.eye(4)[base - 1]
+    for z, real in enumerate(sorted(range(reals), key=lambda r: (-ari(codes[r]), -r))):
+        means = np.stack([u[codes[real] == c].mean(0) for c in range(1, 5)])
+        u = ((z + 1) * u + means[codes[real] - 1]) / (z + 2)
+    out = pairings.cumulative(labels, frame)
+    assert len(out._jdf.queryExecution().toString()) < 50_000
+    got = np.zeros((n, 4))
+    for r in out.collect():
+        got[r["id"], r["code"] - 1] = r["u"]
+    assert np.allclose(got, u, atol=1e-9)
+
+
+def test_membership_equals_cluster_probability_of_pairs(spark):
+    from stratalode.operators import pairings
+
+    rng = np.random.RandomState(4)
+    labels = spark.createDataFrame([(r, i, int(c)) for r in range(7) for i, c in enumerate(rng.randint(1, 4, 60))], "real int, id long, cluster long")
+    clusters = spark.createDataFrame([(i, int(c)) for i, c in enumerate(rng.randint(1, 4, 60))], "id long, cluster long")
+    weights = spark.createDataFrame([(r, float(w)) for r, w in enumerate(rng.rand(7))], "real int, w double")
+    for w in (None, weights):
+        want = {(r["id"], r["cluster"]): r["p"] for r in pairings.cluster_probability(pairings.pairings(labels, w), clusters).collect()}
+        got = {(r["id"], r["cluster"]): r["p"] for r in pairings.membership(labels, clusters, w).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def brute_knn(q, p, ids, k):
+    d2 = ((q[:, None] - p[None]) ** 2).sum(2)
+    return [sorted(zip(row, ids, strict=True))[:k] for row in d2]
+
+
+def test_grid_neighbours_of_clusters_outliers_copies_and_small_groups(spark, monkeypatch):
+    from stratalode.operators import neighbors
+
+    rng = np.random.RandomState(6)
+    p = np.concatenate([rng.randn(1500, 2) * 1e-3, rng.randn(700, 2) * 1e-2 + 3, rng.uniform(-1e4, 1e4, (20, 2)), np.zeros((80, 2)), rng.randn(2, 2)])
+    group = np.concatenate([rng.randint(0, 2, 2300), [7, 7]])
+    points = spark.createDataFrame([(i, float(x), float(y), int(g)) for i, ((x, y), g) in enumerate(zip(p, group, strict=True))], "id long, r0 double, r1 double, grp long")
+    for most in (50, 4096):
+        monkeypatch.setattr(neighbors, "OPEN_QUERIES", most)
+        got = {}
+        for r in neighbors.grid_knn(points.drop("grp"), points.drop("grp"), 4, 2).collect():
+            got.setdefault(r["i"], []).append((r["rk"], r["j"]))
+        want = brute_knn(p, p, range(len(p)), 4)
+        assert all([j for _, j in sorted(got[i])] == [j for _, j in want[i]] for i in range(len(p)))
+        got = {}
+        for r in neighbors.grid_knn(points.drop("grp"), points, 4, 2, by_group=True, reach=5.0).collect():
+            got.setdefault((r["i"], r["grp"]), []).append((r["rk"], r["j"]))
+        for g in (0, 1, 7):
+            own = np.flatnonzero(group == g)
+            for i, row in enumerate(brute_knn(p, p[own], own.tolist(), 4)):
+                assert [j for _, j in sorted(got.get((i, g), []))] == [j for d, j in row if d <= 25]
