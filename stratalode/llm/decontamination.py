@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import column, only, read, slices, small_batches, stage
+from .common import column, only, read, slices, small_batches, stage, text_buffers
 
 
 @dataclass(frozen=True)
@@ -23,41 +23,54 @@ class Windows:
 
 
 class _Set:
-    """The windows of a block of items: sorted hashes by length, a bit table in front, and the words to verify by."""
+    """The windows of a block of items: sorted hashes by length, a bit table in front, and the items' words to verify by.
+
+    About five bytes for each byte of items; the words of a window stay in the items' text and are compared there.
+    """
 
     BITS = 22
 
     def __init__(self, items: list[tuple[int | None, str]], n: int):
-        self.exact: dict[bytes, set] = {}
-        by: dict[int, set[int]] = {}
-        for item, text in items:
-            raw = T.LOWER[np.frombuffer(text.encode(), np.uint8)]
-            starts, ends, _ = T.words(raw, np.array([0, len(raw)]), T.NOT_ALNUM)
-            if not len(starts):
-                continue
-            size = min(n, len(starts))
-            hashes = T.chain(T.hash_words(raw, starts, ends), size)
-            words = [raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-            by.setdefault(size, set()).update(hashes.tolist())
-            for i in range(len(hashes)):
-                self.exact.setdefault(b" ".join(words[i : i + size]), set()).add(item)
-        self.sizes = {size: np.array(sorted(found), np.uint64) for size, found in by.items()}
+        self.items = [item for item, _ in items]
+        data, offsets = text_buffers(pa.array([text for _, text in items], pa.string()))
+        self.data = T.LOWER[data]
+        starts, ends, first = T.words(self.data, offsets, T.NOT_ALNUM)
+        self.starts, self.ends, self.first = (x.astype(np.int32) for x in (starts, ends, first))
+        hashes, counts = T.hash_words(self.data, starts, ends), np.diff(first)
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.bits = {}
-        for size, found in self.sizes.items():
+        for size in np.unique(np.minimum(counts[counts > 0], n)).tolist():
+            found = T.chain(hashes, size)
+            at = np.flatnonzero(T.inside(first, size)) if size == n else first[:-1][counts == size]
+            at = at[counts[np.searchsorted(first, at, "right") - 1] >= n] if size == n else at
+            order = at[np.argsort(found[at], kind="stable")]
+            self.sizes[size] = found[order], order.astype(np.int32)
             self.bits[size] = np.zeros(1 << self.BITS, bool)
-            self.bits[size][(found >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+            self.bits[size][(found[order] >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+        self.seen: dict[bytes, frozenset] = {}
+
+    def _listed(self, words: bytes, size: int, low: int, high: int) -> frozenset:
+        """The items with the window of these words, among the windows of one hash."""
+        found = set()
+        for i in self.sizes[size][1][low:high].tolist():
+            if b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[i : i + size], self.ends[i : i + size], strict=True)) == words:
+                found.add(self.items[int(np.searchsorted(self.first, i, "right")) - 1])
+        return frozenset(found)
 
     def hits(self, data, starts, ends, first):
         """(first word, words, items) of the verified windows, first words counted over all texts."""
         hashes = T.hash_words(data, starts, ends)
-        for size, known in self.sizes.items():
+        for size, (known, _) in self.sizes.items():
             found = T.chain(hashes, size)
             at = np.flatnonzero(self.bits[size][(found >> np.uint64(64 - self.BITS)).astype(np.int64)])
             at = at[T.inside(first, size)[at]]
-            near = np.minimum(np.searchsorted(known, found[at]), len(known) - 1)
-            for i in at[known[near] == found[at]].tolist():
+            low, high = np.searchsorted(known, found[at], "left"), np.searchsorted(known, found[at], "right")
+            there = high > low
+            for i, x, y in zip(at[there].tolist(), low[there].tolist(), high[there].tolist(), strict=True):
                 words = b" ".join(data[a:b].tobytes() for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True))
-                if (items := self.exact.get(words)) is not None:
+                if words not in self.seen:
+                    self.seen[words] = self._listed(words, size, x, y)
+                if items := self.seen[words]:
                     yield i, size, items
 
 
@@ -141,7 +154,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, w: Windows = Windows(),
     """The documents, with all their columns, without what the benchmark holds.
 
     remove="documents": documents with a hit go. remove="spans": their hit words go, each with what stands up to the
-    next word; the other bytes stay as they are.
+    next word; the other bytes stay as they are. Where items fill several blocks, a document is scanned by each in turn,
+    and cut once, by the union of what they hit. Null, empty and blank texts have no words and stay; repeated rows are
+    judged each by itself; an item without item_id counts like any other, a null item not at all.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -150,16 +165,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, w: Windows = Windows(),
     items = only(benchmark, "item_id", "text").where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // w.block_bytes))
-    for block in range(blocks):  # each block's set in turn, on what the blocks before left
+    schema, marks = docs.schema, "_hits"
+    while marks.lower() in (c.lower() for c in docs.columns):
+        marks += "_"
+    for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(_Set([(r["item_id"], r["text"]) for r in own.collect()], w.n))
-        docs = docs.mapInArrow(_cut(shared, remove), docs.schema)
+        last = block == blocks - 1
+        if not last and remove == "spans":
+            docs = docs if marks in docs.columns else docs.withColumn(marks, F.lit(None).cast("binary"))
+        docs = docs.mapInArrow(_cut(shared, remove, marks, last), schema if last or remove == "documents" else docs.schema)
+        if not last:  # so that a task holds one block's set at a time
+            docs = stage(docs, "scanned")
     return docs
 
 
-def _cut(shared, remove: str):
+def _cut(shared, remove: str, marks: str, last: bool):
+    """Takes out what a block hits. marks: a column of the word stretches that the blocks before have hit; the last block
+    cuts by all of them."""
+
     def run(batches):
         for batch in batches:
+            at_marks = batch.schema.get_field_index(marks)
             for rows, data, offsets in slices(batch):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 low = T.LOWER[data]
@@ -168,11 +195,19 @@ def _cut(shared, remove: str):
                 for i, size, _ in shared.value.hits(low, starts, ends, first):
                     cover[i] += 1
                     cover[i + size] -= 1
+                for d, value in enumerate(part.column(at_marks).to_pylist() if at_marks >= 0 else ()):
+                    edges = np.frombuffer(value or b"", np.int64).reshape(-1, 2) + first[d]
+                    np.add.at(cover, edges[:, 0], 1)
+                    np.add.at(cover, edges[:, 1], -1)
                 hit = np.cumsum(cover[:-1]) > 0
                 bad = np.diff(np.concatenate([[0], np.cumsum(hit)])[first]) > 0
                 if remove == "documents":
                     yield part.filter(pa.array(~bad))
                     continue
+                if not last:
+                    values = [np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).view(np.int8))).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                    yield part.set_column(at_marks, part.schema.field(at_marks), pa.array(values, pa.binary()))
+                    continue
                 texts = column(part, "text").to_pylist()
                 for d in np.flatnonzero(bad).tolist():
                     keep = np.ones(offsets[d + 1] - offsets[d], bool)
@@ -181,7 +216,8 @@ def _cut(shared, remove: str):
                         keep[starts[i] - offsets[d] : stop - offsets[d]] = False
                     texts[d] = data[offsets[d] : offsets[d + 1]][keep].tobytes().decode()
                 at = part.schema.get_field_index("text")
-                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                yield part.drop_columns([marks]) if at_marks >= 0 else part
 
     return run
 
