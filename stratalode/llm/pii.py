@@ -17,17 +17,17 @@ from .common import column, only, read, slices, small_batches, stage
 KINDS = ("email", "ip", "card", "phone", "secret")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match takes whole runs of digits, so it begins one
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Texts without any of these characters hold no base span and no candidate.
-_SIGNS = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_SIGNS = re.compile(r"[0-9@=:]|\(at\)|\[at\]")
 _GENERATORS = (
-    ("email", re.compile(r"[\w.%+-]+\s?(?:@|\(at\)|\[at\])\s?[\w-]+(?:(?:(?:\.|\s?(?:\(dot\)|\[dot\])\s?)[\w-]+)+|(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]+)+)")),
+    ("email", re.compile(r"\s?(?:@|\(at\)|\[at\])\s?[\w-]++(?:(?:(?:\.|\s?(?:\(dot\)|\[dot\])\s?)[\w-]++)+|(?:\s?(?:\.|\(dot\)|\[dot\])\s?[\w-]++)+)")),  # behind a local part
     ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w.])")),
     ("card", re.compile(r"(?<![\w])[0-9]{4}(?:[ .-]?[0-9]{3,6}){2,4}(?!\w)")),
     ("phone", re.compile(r"(?<![\w])[(+]?[0-9][0-9 ()./-]{5,22}[0-9](?!\w)")),
-    ("secret", re.compile(r"(?<=[=:])\s?[\"']?[\w+/=-]{8,200}|(?<!\w)[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]{11,200}(?!\w)")),
+    ("secret", re.compile(r"(?<=[=:])\s?[\"']?[\w+/=-]{8,}+|(?<![\w+/-])[A-Za-z0-9+/_-]{12,}+(?!\w)")),
 )
 _CUES = tuple(re.compile(x) for x in (r"mail|contact", r"\bip\b|host|server|addr", r"card|visa|credit|account|iban", r"tel|phone|call|mobile|fax|whats", r"pass|pwd|secret|token|key|auth|bearer", r"[=:]\s?[\"']?\Z"))
 _HIDDEN_AT, _HIDDEN_DOT = re.compile(r"\s?(?:\(at\)|\[at\])\s?"), re.compile(r"\s?(?:\(dot\)|\[dot\])\s?")
@@ -103,9 +103,20 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     for kind, (name, pattern) in enumerate(_GENERATORS):
         if name == "email" and "@" not in text and "at)" not in text and "at]" not in text:
             continue
+        last = 0
         for m in pattern.finditer(text):
-            lead = len(m[0]) - len(m[0].lstrip(" \"'"))
-            out.append((m.start() + lead, kind, m.end()))
+            begin, end = m.start(), m.end()
+            if name == "email":
+                while begin > last and (text[begin - 1] in ".%+-_" or text[begin - 1].isalnum()):
+                    begin -= 1
+                if begin == m.start():
+                    continue
+                last = end
+            elif name == "secret" and (not begin or text[begin - 1] not in "=:") and not any(map(str.isdigit, m[0][:-11])):
+                continue
+            else:
+                begin += len(m[0]) - len(m[0].lstrip(" \"'"))
+            out.append((begin, kind, end))
     return sorted(set(out))
 
 
@@ -113,7 +124,8 @@ FEATURES = 24
 
 
 def describe(text: str, start: int, kind: int, end: int, context: int) -> list[float]:
-    """Format and context of a span; whether a checksum or a range holds is not among them."""
+    """Format and context of a span. What labels the examples is not among them: no checksum or range, and for a secret
+    not the words that lead to one."""
     s = text[start:end]
     n = max(len(s), 1)
     digits, letters, upper = sum(map(str.isdigit, s)), sum(map(str.isalpha, s)), sum(map(str.isupper, s))
@@ -121,7 +133,7 @@ def describe(text: str, start: int, kind: int, end: int, context: int) -> list[f
     counts = [s.count(c) for c in set(s)]
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     before, after = text[max(0, start - context) : start].lower(), text[end : end + 1]
-    cues = [float(bool(p.search(before))) for p in _CUES]
+    cues = [float(bool(p.search(before)) and not (kind == 4 and i == 4)) for i, p in enumerate(_CUES)]
     return [
         float(kind), float(n), float(digits), float(letters), upper / n, digits / n, float(len(groups)), float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
         float(s.count(".")), float(s.count("-")), float(s.count(" ")), float(s.count("@")), float(s.count("+")), float(s.count(":")), entropy,
@@ -279,7 +291,8 @@ def spans(text: str, model: Trees, context: int, found: list | None = None, chan
         return base, base
     chance = model.chance(np.array([describe(text, *x, context) for x in found])) if chance is None else chance
     every, taken = list(base), [(a, e) for a, _, e in base]
-    sure = np.array([evident(text, *x) for x in found])
+    # a table of too few candidates to learn from still has its secrets found, by the words that lead to them
+    sure = np.array([evident(text, *x) or not model.nodes and x[1] == 4 and _weak_label(text, *x, []) for x in found], bool)
     for i in np.lexsort((-chance, ~sure)).tolist():
         a, kind, e = found[i]
         if (sure[i] or chance[i] >= model.limits[kind]) and all(e <= x or a >= y for x, y in taken):
@@ -318,7 +331,8 @@ def find(docs: DataFrame, model: Trees, b: Boost = Boost()) -> DataFrame:
 
 def redact(docs: DataFrame, model: Trees, b: Boost = Boost()) -> DataFrame:
     """The documents, with all their columns, with every span replaced by its kind in angle brackets (overlapping base
-    spans by the first one's); n_chars, where there is one, follows the new text. A null text stays null."""
+    spans by the first one's); n_chars, where there is one, follows the new text. A null text stays null, an empty one
+    empty; texts of any length are taken whole, in time that grows in proportion; repeated rows change alike."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
