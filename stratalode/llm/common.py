@@ -92,6 +92,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: A class of more than one in so many rows is looked up by broadcast; there are fewer such classes than that.
+LARGE = 1000
+
+
+def of_class(rows: DataFrame, classes: DataFrame, value: str) -> DataFrame:
+    """rows (mark, ...) with the value of their class (mark, n, value), where n counts its rows; null without a class.
+
+    Rows of large classes, and rows without a mark, aren't shuffled, so no task gets all of them.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    large = classes.where(F.col("n") * LARGE > total).select(F.col("mark").alias("_mark"), F.col(value).alias("_value"))
+    rows = rows.join(F.broadcast(large), F.col("mark") == F.col("_mark"), "left").drop("_mark")
+    there = rows.where("_value is not null or mark is null").withColumnRenamed("_value", value)
+    rest = rows.where("_value is null and mark is not null").drop("_value")
+    return there.unionByName(rest.join(classes.where(F.col("n") * LARGE <= total).select("mark", value), "mark", "left"))
+
+
 def only(frame: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone; a missing one is null, so clashing or extra columns of the input never matter."""
     kinds = {"text": "string", "html": "string", "url": "string"}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import column, only, read, release, rows_from, rows_of, slices, small_batches, stage
+from .common import column, of_class, only, read, release, rows_from, rows_of, slices, small_batches, stage
 from .components import components
 
 _A = np.random.RandomState(71).randint(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -275,14 +275,21 @@ def _verified(near: Near):
 
 
 def _across(here: DataFrame, reps: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """Links (a, b) that join different components of a bucket, from (key, band, rep, component, size).
+    """Links (a, b) that join different components of a bucket, from (key, band, rep, component).
 
-    A bucket's rows fall into blocks of about block_rows; every two blocks meet in a task, so no task holds more than
-    two blocks of a bucket. Signatures go first; full sets travel only for rows that some pair is left of.
+    The rows of a bucket's largest component, and the others, fall into blocks of about block_rows. Blocks of others meet
+    one another and every block of the largest component, whose rows never meet: where the others fill one block, each of
+    its rows travels once. No task holds more than two blocks of a bucket. Signatures go first; full sets travel only for
+    rows that some pair is left of.
     """
-    blocks = F.ceil(F.col("size") / near.block_rows)
-    rows = here.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sizes = here.groupBy("key", "component").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).where(F.col("top.n") < F.col("size"))
+    blocks = lambda n: F.ceil(n / near.block_rows)
+    tops = tops.select("key", F.col("top.component").alias("largest"), blocks(F.col("size") - F.col("top.n")).alias("few"), blocks(F.col("top.n")).alias("many"))
+    rows = here.join(tops, "key")
+    inside, at = F.col("component") == F.col("largest"), F.xxhash64("rep")
+    rows = rows.withColumn("block", F.when(inside, F.col("few") + F.pmod(at, F.col("many"))).otherwise(F.pmod(at, F.col("few"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
     rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "band", "rep", "component", "block")
     parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sig = reps.select(F.col("rep").alias("r"), "sig")
@@ -313,7 +320,7 @@ def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
     docs = only(docs, "doc_id", "text")
     sketch = stage(docs.mapInArrow(_sketch(near), "doc_id long, n_shingles long, mark binary, sig binary"), "sketch")
     linked = sketch.where("doc_id is not null and mark is not null")
-    classes = linked.groupBy("mark").agg(F.min("doc_id").alias("rep"))
+    classes = linked.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     reps = linked.join(classes.select(F.col("mark").alias("m"), "rep"), F.expr("mark = m and doc_id = rep"), "left_semi")
     reps = stage(reps.select(F.col("doc_id").alias("rep"), "sig"), "reps")
     keys = reps.mapInArrow(_bands(near), "key long, rep long, band int")
@@ -328,11 +335,11 @@ def near_dedup(docs: DataFrame, near: Near = Near()) -> DataFrame:
     links = stage(_verify(tried, reps, sets, near), "verified")
     labels = components(links)
     here = members.join(labels, F.col("rep") == F.col("id"), "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-    links = stage(links.unionByName(_across(here.join(mixed, "key"), reps, sets, near)), "verified")
+    mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    links = stage(links.unionByName(_across(stage(here.join(mixed, "key"), "mixed"), reps, sets, near)), "verified")
     labels = components(links)
-    of_class = classes.join(labels, F.col("rep") == F.col("id"), "left").select("mark", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "mark").join(of_class, "mark", "left")
+    classes = stage(classes.join(labels, F.col("rep") == F.col("id"), "left").select("mark", "n", F.coalesce("component", "rep").alias("component")), "classes")
+    out = of_class(sketch.select("doc_id", "n_shingles", "mark"), classes, "component")
     # rows of one doc_id may be in several classes
     twice = out.where("doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     if twice.limit(1).count():

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import SLICE_BYTES, column, only, read, release, slices, small_batches, stage
+from .common import SLICE_BYTES, column, of_class, only, read, release, slices, small_batches, stage
 
 #: Bits of a word's number; above them, which of a doc_id's unlike texts it is in.
 DUP = 40
@@ -26,13 +26,14 @@ class Passages:
     A minimiser with at least 1 / share of all runs in some task is a candidate for the hot list, and is on it if the
     candidates' counts reach 1 / share of all runs: so the list has at most share entries, and every minimiser with
     2 / share of all runs is on it. Windows of hot minimisers go by the hash of the window instead: those that repeat are
-    broadcast if there are at most broadcast_rows of them, else joined.
+    broadcast if there are at most broadcast_rows of them, else joined. A task counts about task_words windows.
     """
 
     k: int = 13
     m: int = 3
     share: int = 2000
     broadcast_rows: int = 1_000_000
+    task_words: int = 8_000_000
 
 
 def _squeeze(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -103,14 +104,6 @@ def _heavy(p: Passages):
     return run
 
 
-def _gather(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray):
-    sizes = ends - begins
-    offsets = np.zeros(len(sizes) + 1, np.int64)
-    np.cumsum(sizes, out=offsets[1:])
-    at = np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], sizes)
-    return buffer[at], offsets
-
-
 def _gather(buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray):
     """The stretches of a buffer in a row, and where each begins there (one more)."""
     sizes = ends - begins
@@ -349,10 +342,11 @@ def substring_dedup(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     if several.limit(1).count():  # a doc_id with unlike texts: tell them apart
         docs = docs.withColumn("dup", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")).cast("long") - 1)
     marks = texts.where(F.col("n_words") >= p.k).join(several, "doc_id", "left_anti")
-    low = marks.groupBy("mark").agg(F.min("doc_id").alias("low"))
-    copies = stage(marks.join(low, "mark").where("doc_id > low").select("doc_id").distinct(), "copies")
+    classes = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    copies = stage(of_class(marks, stage(classes, "classes"), "low").where("doc_id > low").select("doc_id").distinct(), "copies")
 
-    buckets = 16 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
+    words = scan.agg(F.sum("n_words")).first()[0] or 0
+    buckets = 16 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4, -(-words // p.task_words))
     single = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
     ranges = single.mapInArrow(_super(p, hot, buckets), "bucket long, blob binary").repartition(buckets // 16, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(p), "doc_id long, word long, n long")
     if len(hot):
@@ -361,9 +355,9 @@ def substring_dedup(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
         # the table is looked up by its first hash, which must tell its windows apart
         size = lows.agg(F.count("*").alias("n"), F.count_distinct("h1").alias("keys")).first()
         if size["n"] <= p.broadcast_rows and size["keys"] == size["n"]:
-            table = np.array(lows.orderBy("h1").collect(), np.int64).reshape(-1, 3)
+            table = lows.orderBy("h1").toArrow()
             if len(table):
-                shared = spark.sparkContext.broadcast(tuple(table.T.copy()))
+                shared = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("h1", "h2", "low")))
                 ranges = ranges.unionByName(single.mapInArrow(_hot_ranges(p, hot, shared), "doc_id long, word long, n long"))
         else:
             windows = single.mapInArrow(_hot_windows(p, hot), "h1 long, h2 long, doc_id long, word long")
