@@ -40,7 +40,7 @@ class Seating:
     burn: int = 1
     byte_sweeps: int = 3
     theta: float = 1.0
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 12 << 20
     bucket_bytes: int = 24 << 20
     seed: int = 11
 
