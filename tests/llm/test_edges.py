@@ -98,6 +98,15 @@ def test_decontamination(spark, docs, empty):
     assert spans[1] == "the quick brown fox the warm roof of an old house" and spans[8] == "" and spans[9] == LONG
 
 
+def test_decontamination_in_blocks_equals_one_block(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e f g h i j k l m n o y", 1), (2, "f g h i j k l m n o", 2), (3, None, 3), (4, "x y", 4), (4, "x y", 5)], "doc_id long, text string, _hits int")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "f g h i j k l m n o"), (3, "q r s t")], "item_id long, text string")
+    for remove in ("spans", "documents"):
+        one, many = (sorted(map(str, decontamination.decontaminate(docs, bench, decontamination.Windows(block_bytes=n), remove).collect())) for n in (1 << 20, 12))
+        assert one == many
+        assert remove == "documents" or "text='x y', _hits=1" in str(one)
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ b\n", "same"), (3, None, "same"), (3, "u", "same"), (2, "u", None), (4, "u", ""), (None, "u", "only"), (None, "u", "same"), (5, "u", "x" * 3_000_000)]
     frame = spark.createDataFrame([(*p, "q") for p in pages], "page_id long, url string, html string, digest string")
@@ -285,3 +294,77 @@ def test_pii(spark, docs, empty):
     assert "<email>" in clean[-5]["text"] and "@" not in clean[-5]["text"] and clean[-5]["n_chars"] == len(clean[-5]["text"])
     assert clean[9]["text"] == LONG and clean[3]["text"] is None
     assert pii.find(empty, pii.fit(empty)).count() == 0
+
+
+def test_personal_data_in_very_long_words():
+    import time
+
+    began = time.process_time()
+    word = "a" * 1_000_000
+    assert pii.base_spans(word + " 1@") == [] and pii.candidates("1 " + word + "@") == []
+    assert pii.candidates(word + "@b.cd 1")[0] == (0, 0, len(word) + 5)
+    for text in ("1" * 1_000_000, "1." * 500_000, "a-" * 500_000 + "@", "a@" * 300_000, "+1" * 500_000, "=" * 1_000_000, "f:" * 500_000, "(at)" * 200_000, "a/" * 500_000 + "1"):
+        pii.base_spans(text), pii.candidates(text)
+    assert time.process_time() - began < 60
+
+
+def test_personal_data_beyond_the_base_patterns(spark):
+    rng = np.random.RandomState(8)
+    word = lambda n=6: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    digits = lambda n: "".join(map(str, rng.randint(0, 10, n)))
+    key = lambda n=32: "".join(rng.choice(list("abcdefABCDEF0123456789"), n - 1)) + "7"
+    planted = [
+        lambda: f"{word()} (at) {word()} (dot) com",
+        lambda: f"2001:db8:{rng.randint(1, 9999)}:1:2:3:4:{rng.randint(1, 9999)}",
+        lambda: ("call ", f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"),
+        lambda: (f"{rng.choice(['password', 'api_key', 'token'])}=", key()),
+    ]
+    decoys = [lambda: f"20{rng.randint(10, 24)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"version {rng.randint(1, 9)}.{rng.randint(1, 9)}", lambda: f"{rng.randint(1, 99)}:{rng.randint(10, 59)}", lambda: f"width={rng.randint(1000, 9999)}px", lambda: f"page {digits(3)}", lambda: f"name: {word(9)}"]
+    rows, truth = [], {}
+    for i in range(1500):
+        parts, spans_, at = [], [], 0
+        for _ in range(6):
+            kind = rng.randint(0, 10)
+            made = planted[kind]() if kind < 4 else decoys[kind - 4]()
+            lead, value = made if isinstance(made, tuple) else ("", made)
+            fill = f"{word()} {word()} "
+            if kind < 4:
+                spans_.append((at + len(fill) + len(lead), at + len(fill) + len(lead) + len(value)))
+            parts.append(fill + lead + value + " ")
+            at += len(parts[-1])
+        rows.append((i, "".join(parts)))
+        truth[i] = spans_
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found, hit, added, good = pii.find(frame, pii.fit(frame)).collect(), 0, 0, 0
+    for r in found:
+        got = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x and x not in r["base"].split(",")]
+        added += len(got)
+        good += sum(any(a < y and x < e for x, y in truth[r["doc_id"]]) for a, e in got)
+        hit += sum(any(a <= x and e >= y for a, e in got) for x, y in truth[r["doc_id"]])
+    assert hit / sum(map(len, truth.values())) > 0.9 and good / added > 0.9
+
+
+def test_secrets_of_a_table_too_small_to_learn_from(spark):
+    frame = spark.createDataFrame([(1, "password=" + "Ab3" * 100 + " end"), (2, None)], "doc_id long, text string")
+    model = pii.fit(frame)
+    assert not model.nodes and [r["text"] for r in pii.redact(frame, model).orderBy("doc_id").collect()] == ["password=<secret> end", None]
+
+
+def test_a_bucket_of_one_large_and_many_small_components(spark):
+    """Blocks of a bucket: the largest component's rows meet the others only, whatever the size of a block."""
+    rng = np.random.RandomState(3)
+    words_ = [f"w{i}" for i in range(400)]
+    base = rng.choice(words_, 60).tolist()
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for at in rng.randint(0, 60, rng.randint(0, 9)):
+            t[at] = f"x{rng.randint(10_000)}"
+        rows.append((i, " ".join(t)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = [near_dedup.Near(k=3, percent=85, bands=36, rows=7, batch=28, block_rows=n, star_bands=m) for n, m in ((2048, 2), (7, 2), (7, 0), (3, 1))]
+    got = [sorted(map(tuple, near_dedup.near_dedup(frame, k).collect())) for k in kinds]
+    assert all(x == got[0] for x in got)
+    from test_brute import linked_groups
+
+    assert {r[0]: r[2] for r in got[0]} == linked_groups(dict(rows), 3, 85)
