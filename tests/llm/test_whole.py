@@ -48,20 +48,56 @@ def test_language_model_sees_the_order_of_words(spark):
     assert got[held[0]]["score"] > got[held[1]]["score"] + 3
 
 
-def test_word_contexts_sum_to_one():
-    # numbers of a chunk: two known words, an unknown one, the end; 4 stands before a text's first
-    c, followers, chance = [4, 3, 0, 3], [3, 2, 0, 0], [0.3, 0.2, 0.1, 0.4]
-    together = {(0, 0): 2, (0, 1): 1, (0, 3): 1, (1, 0): 1, (1, 3): 2, (4, 0): 1, (4, 1): 2}
-    pairs = [(b * 5 + x, together.get((b, x), 0)) for b in (0, 1, 2, 4) for x in range(4)]
-    words = pa.table({"number": [*range(4), *(x for x, _ in pairs)], "c": [*c, *(n for _, n in pairs)], "followers": followers + [-1] * len(pairs), "score": np.log10([*chance, *[1] * len(pairs)])})
-    texts = [[], *([b, *x] for b in range(3) for x in ([], [0], [1], [2], [3])), [3]]
-    docs = pa.table({"doc_id": range(len(texts)), "held_out": [True] * len(texts), "ids": [np.array(x, np.int32).tobytes() for x in texts]})
-    docs = docs.slice(1)
-    got = language_model._sum(10, 3, language_model.Seating(), 0.4, (3, 2))(words, docs)["score"].to_pylist()
-    p = dict(zip(map(tuple, texts[1:]), (10**x for x in got), strict=True))
-    assert sum(p[x,] for x in range(4)) == pytest.approx(1)
-    for b in range(3):
-        assert sum(p[b, x] for x in range(4)) / p[b,] == pytest.approx(1)
+def test_scores_equal_a_plain_model(spark):
+    """The model written out with dictionaries, over one corpus; Spark's has many chunks and buckets."""
+    import collections
+    import math
+    import zlib
+
+    L, rng = language_model, np.random.RandomState(9)
+    s = L.Seating(chunk_bytes=300, bucket_bytes=200)
+    names = ["a", "bb", "The", "the", "cat", "sat", "on", "mat", "é", "dog"] + [f"rare{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(names, rng.randint(0, 12), p=[0.08] * 10 + [0.005] * 40)) for _ in range(150)]
+    got = {r["doc_id"]: r["score"] for r in L.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), s).collect()}
+
+    words = [[x.encode().lower() for x in t.split()] + [b"\n"] for t in texts]
+    train = [w for i, w in enumerate(words) if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = collections.Counter(p for w in train for p in zip([None, *w], w))
+    known, pairs = sorted({x for _, x in c}), sorted(c, key=str)
+    hashed = lambda x: L.BEGIN_HASH if x is None else L.T.hash_words(np.frombuffer(x, np.uint8), np.zeros(1, int), np.array([len(x)]))[0]
+    keys = np.array([L.T.mix(np.array([hashed(u)]) * np.uint64(0xA0761D6478BD642F) + L.T.mix(np.array([hashed(x)])))[0] for u, x in pairs])
+    data, offsets = np.frombuffer(b"".join(known), np.uint8), np.cumsum([0, *map(len, known)])
+    share = lambda x: L.discount(np.array([1, 2]), np.array([sum(n == k for n in x) for k in (1, 2)]))
+    d_pair, followed, tables, before, seated, samples = share(c.values()), collections.Counter(), dict.fromkeys(pairs, 1.0), len(known), np.ones(len(known)), []
+    for (u, _), n in c.items():
+        followed[u] += n
+    for i in range(s.sweeps + 1):
+        k, here = collections.Counter(), collections.Counter()
+        for (u, x), n in tables.items():
+            k[x] += n
+            here[u] += n
+        counts = np.array([k[x] for x in known])
+        d = share(counts) if not i else d
+        spelling = L.Spelling({int(a): int(b) for a, b in zip(*L._grams(data, offsets, seated), strict=True)}, s, s.seed + i)
+        spelt = np.exp(spelling.log_word(data, offsets))
+        seated = L.seat(counts.astype(int), (s.theta + d * before) * spelt, d, np.array([hashed(x) for x in known]), i)
+        chance = lambda all_, counts=counts, seated=seated, spelt=spelt: dict(zip(known, (np.maximum(counts - d * seated, 0) + (s.theta + d * all_) * spelt) / (s.theta + counts.sum()), strict=True))
+        new = (s.theta + d * seated.sum()) / (s.theta + counts.sum()) * (1 - spelt.sum())
+        samples.append((chance(seated.sum()), new, tables, here))
+        weights = chance(before)
+        drawn = L.seat(np.array([c[p] for p in pairs]), np.array([(s.theta + d_pair * here[u]) * weights[x] for u, x in pairs]), d_pair, keys, i)
+        before, tables = seated.sum(), dict(zip(pairs, drawn, strict=True))
+
+    def probability(u, x):
+        each = [(max(c[u, x] - d_pair * t.get((u, x), 0), 0) + (s.theta + d_pair * here[u]) * p.get(x, new)) / (s.theta + followed[u]) for p, new, t, here in samples[s.burn :]]
+        return sum(each) / len(each)
+
+    for u in [None, b"unknown", *(x for x in known if x != b"\n")]:
+        assert abs(sum(probability(u, x) for x in [*known, b"unknown"]) - 1) < 1e-9
+    for i, w in enumerate(words):
+        assert abs(got[i] - sum(math.log10(probability(u, x)) for u, x in zip([None, *w], w))) < 1e-6
+    assert any(n > 1 for n in drawn) and probability(b"cat", b"sat") != probability(b"on", b"sat")
+
 
 
 def test_shouting_counts_over_the_whole_text():
