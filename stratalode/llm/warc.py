@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +20,9 @@ from .files import read_files, write_files
 SKIPPABLE, INDEX_FRAME, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, b"\xb1\xea\x92\x8f"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Records that reading hands to Spark at once.
+FLUSH_ROWS = 256
+
 
 @dataclass(frozen=True)
 class Bundles:
@@ -28,7 +30,7 @@ class Bundles:
 
     min_bytes: int = 0
     frame_bytes: int = 128 << 10
-    bundle_bytes: int = 4 << 20
+    bundle_bytes: int = 32 << 20
     date: str = "1970-01-01T00:00:00Z"
     level: int = 3
 
@@ -92,10 +94,10 @@ class Bundle:
 
 def _bundles(b: Bundles):
     def run(batches):
-        part, n, bundle = TaskContext.get().partitionId(), 0, Bundle(b)
+        bundle = Bundle(b)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + n], pa.int64()), pa.array([bundle.blob()], pa.binary())], names=["bundle", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([bundle.blob()], pa.binary())], names=["blob"])
 
         for batch in batches:
             for page, url, payload, top, revisit in zip(*(column(batch, c) for c in ("page_id", "url", "html", "top", "revisit")), strict=True):
@@ -103,7 +105,7 @@ def _bundles(b: Bundles):
                 bundle.add(page, record(page, url.as_py(), (payload.as_py() or "").encode(), top.as_py(), revisit.as_py(), b))
                 if bundle.stored >= b.bundle_bytes:
                     yield out()
-                    n, bundle = n + 1, Bundle(b)
+                    bundle = Bundle(b)
         if bundle.index:
             yield out()
 
@@ -125,11 +127,16 @@ def seek_table(content: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def entries_of(content: bytes, table: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(record identifier, frame, offset in it) of every record, in the order of the file."""
+    at, stored, _ = table[-1]
+    lines = zstandard.ZstdDecompressor().decompress(content[at + 8 : at + stored]).decode().splitlines()
+    return [(i, int(f), int(o)) for i, f, o in (x.split(" ") for x in lines)]
+
+
 def index_of(content: bytes) -> dict[str, tuple[int, int]]:
     """Record identifier: (frame, offset in it). Of records with one identifier the last counts."""
-    at, stored, _ = seek_table(content)[-1]
-    lines = zstandard.ZstdDecompressor().decompress(content[at + 8 : at + stored]).decode().splitlines()
-    return {i: (int(f), int(o)) for i, f, o in (x.split(" ") for x in lines)}
+    return {i: (f, o) for i, f, o in entries_of(content, seek_table(content))}
 
 
 def parse(data: bytes, at: int = 0):
@@ -148,23 +155,49 @@ def fetch(content: bytes, identifier: str):
     return parse(zstandard.ZstdDecompressor().decompress(content[at : at + stored]), offset)[:2]
 
 
+def _located(content: bytes):
+    """(header, block) of every record, each found by its identifier's frame and offset; a frame is unpacked once. The
+    records must fill their frames, and the map must lead to the record that it names."""
+    unpack, table = zstandard.ZstdDecompressor(), seek_table(content)
+    frame, data, end = -1, b"", 0
+    for identifier, number, offset in entries_of(content, table):
+        if number != frame:
+            if end != len(data) or number != frame + 1:
+                raise ValueError(f"{identifier}: the map leaves records out")
+            at, stored, _ = table[number]
+            frame, data, end = number, unpack.decompress(content[at : at + stored]), 0
+        if offset != end:
+            raise ValueError(f"{identifier}: the map leaves records out")
+        head, block, end = parse(data, offset)
+        if head["WARC-Record-ID"] != identifier:
+            raise ValueError(f"{identifier}: the map leads to {head['WARC-Record-ID']}")
+        yield head, block
+    if end != len(data) or frame != len(table) - 2:
+        raise ValueError("the map leaves records out")
+
+
 def _records(batches):
-    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for value in column(batch, "content"):
-            content, rows = value.as_py(), []
-            for at, stored, size in seek_table(content)[:-1]:
-                data, here = unpack.decompress(content[at : at + stored]), 0
-                while here < size:
-                    head, block, here = parse(data, here)
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    n = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    revisit = head["WARC-Type"] == "revisit"
-                    if not revisit and (len(payload) != n or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-                        raise ValueError(f"{head['WARC-Record-ID']}: the payload differs from its digest")
-                    rows.append((page_of(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), n, digest, head["WARC-Type"], page_of(head["WARC-Refers-To"]) if revisit else None, None if revisit else payload))
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+            rows = []
+            for head, block in _located(value.as_py()):
+                http, _, payload = block.partition(b"\r\n\r\n")
+                n = int(re.search(rb"Content-Length: (\d+)", http)[1])
+                digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                revisit = head["WARC-Type"] == "revisit"
+                if not revisit and (len(payload) != n or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+                    raise ValueError(f"{head['WARC-Record-ID']}: the payload differs from its digest")
+                rows.append((page_of(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), n, digest, head["WARC-Type"], page_of(head["WARC-Refers-To"]) if revisit else None, None if revisit else payload))
+                if len(rows) == FLUSH_ROWS:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
 
 def write_warc(pages: DataFrame, b: Bundles = Bundles()) -> str:
@@ -183,11 +216,12 @@ def write_warc(pages: DataFrame, b: Bundles = Bundles()) -> str:
     again = keys.distinct().join(tops, "digest").where("page_id < top or page_id is null and top is not null").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "top")
     rows = pages.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     rows = rows.select("page_id", "url", "html", "top", F.col("top").isNotNull().alias("revisit"))
-    return write_files(rows.mapInArrow(_bundles(b), "bundle long, blob binary"), "warc", SEEK_MAGIC)
+    return write_files(rows.mapInArrow(_bundles(b), "blob binary"), "warc", SEEK_MAGIC)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload): a row per record."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload): a row per record, found by the
+    files' maps of identifiers. A map that leaves a record out, or leads to another one, is an error."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     return read_files(spark, path).mapInArrow(_records, schema)
 

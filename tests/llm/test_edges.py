@@ -132,6 +132,14 @@ def test_warc_seeks_one_frame(spark):
     assert len(warc.seek_table(content)) > 10
     head, block = warc.fetch(content, warc.record_id(17))
     assert head["WARC-Record-ID"] == warc.record_id(17) and block.endswith(b"page 17 " * 50)
+    assert len(list(warc._located(content))) == 40
+    *frames, (at, stored, _) = warc.seek_table(content)
+    lines = zstandard.ZstdDecompressor().decompress(content[at + 8 : at + stored]).splitlines(True)
+    for wrong in (lines[:-1], lines[1:], lines[:5] + lines[6:], [lines[1], lines[0], *lines[2:]], [lines[0].replace(b":0>", b":1>"), *lines[1:]]):
+        other = warc.Bundle(warc.Bundles())
+        other.frames, other.table, other.index = [content[: frames[-1][0] + frames[-1][1]]], [(n, size) for _, n, size in frames], [x.decode() for x in wrong]
+        with pytest.raises(ValueError, match="the map lea"):
+            list(warc._located(other.blob() + warc.SEEK_MAGIC))
 
 
 def brute_ids(text, name, end):
