@@ -167,7 +167,7 @@ def _shards(s: Shards):
         end, own = np.array([s.end], "<u4").tobytes(), encoder(s.vocabulary)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([shard_blob((part << 24) + n, keys, ids)], pa.binary())], names=["blob"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([shard_blob((part << 24) + n, keys, ids)], pa.binary())], names=["shelf", "blob"])
 
         for batch in batches:
             for rows, _, _ in slices(batch, limit=8 * SLICE_BYTES):
@@ -195,7 +195,7 @@ def write_ids(docs: DataFrame, s: Shards) -> str:
     small_batches(spark, 2 * BATCH_ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = only(docs, "doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return write_files(rows.mapInArrow(_shards(s), "blob binary"), "ids", END)
+    return write_files(rows.mapInArrow(_shards(s), "shelf long, blob binary"), "ids", END)
 
 
 def _digests(batches):

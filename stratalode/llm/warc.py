@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,10 +95,10 @@ class Bundle:
 
 def _bundles(b: Bundles):
     def run(batches):
-        bundle = Bundle(b)
+        part, bundle = TaskContext.get().partitionId(), Bundle(b)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([bundle.blob()], pa.binary())], names=["blob"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([bundle.blob()], pa.binary())], names=["shelf", "blob"])
 
         for batch in batches:
             for page, url, payload, top, revisit in zip(*(column(batch, c) for c in ("page_id", "url", "html", "top", "revisit")), strict=True):
@@ -216,7 +217,7 @@ def write_warc(pages: DataFrame, b: Bundles = Bundles()) -> str:
     again = keys.distinct().join(tops, "digest").where("page_id < top or page_id is null and top is not null").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "top")
     rows = pages.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     rows = rows.select("page_id", "url", "html", "top", F.col("top").isNotNull().alias("revisit"))
-    return write_files(rows.mapInArrow(_bundles(b), "blob binary"), "warc", SEEK_MAGIC)
+    return write_files(rows.mapInArrow(_bundles(b), "shelf long, blob binary"), "warc", SEEK_MAGIC)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
