@@ -376,3 +376,29 @@ def test_a_bucket_of_one_large_and_many_small_components(spark):
     from test_brute import linked_groups
 
     assert {r[0]: r[2] for r in got[0]} == linked_groups(dict(rows), 3, 85)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+    from stratalode.llm.common import stage
+
+    spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    copy = "one two three four five six seven eight"
+    rows = [(1, None), (2, ""), (3, copy), (3, copy), (4, copy), (4, "other words that stand alone in here"), (None, copy), (5, "x a b c d e f g h i j k"), (6, "to a.b@c.org please " + "so long a text " * 20_000)]
+    frame = spark.createDataFrame([(*r, 7, "z", 0) for r in rows], "doc_id long, text string, _gone long, component_id string, kept int")
+    for docs in (frame, frame.where("false")):
+        for name, step in P.STAGES:
+            before, docs = docs, stage(step(spark, docs, str(tmp_path)), name)
+            assert name == "packing" or docs.schema == before.schema
+            if name == "near_duplicates":
+                single = docs.select("doc_id", "text").collect()
+            elif name == "pii":
+                masked = [r["text"] for r in docs.where("doc_id = 6").collect()]
+        if docs.take(1):
+            kept = sorted((str(r["doc_id"]), len(r["text"] or "")) for r in single)
+            assert kept == sorted((str(i), len(t or "")) for i, t in rows if i != 4)
+            assert masked[0].startswith("to <email> please so long")
+            assert sorted({str(r["doc_id"]) for r in docs.collect()}) == ["1", "2", "3", "6", "None"]
+        else:
+            assert single == [] and masked == []
