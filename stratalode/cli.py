@@ -28,7 +28,7 @@ _APPEND = Line("1", "append output to input file? (0=No, 1=Yes)")
 _NEAR, _ANGLES, _RANGES = Line("25", "number of nearest neighbors"), Line("0  0  0", "search anisotropy/ ang1, ang2, ang3"), Line("500 500 500", "range1, range2, range3")
 _METHOD = Line("kmeans", "cluster method: one of `kmeans`, `gmm`, `hier`")
 _FOUND, _FINAL = Line("0.001 0.999", "min and max proportion in found clustering"), Line("4  6", "final nclus, target nclus")
-_CONSENSUS = Line("spec", "final consensus method, `spec`(tral) or `hier`(archical)")
+_CONSENSUS = Line("spec", "final consensus method, `spec`(tral), `hier`(archical) or `power` (iteration)")
 PROGRAMS = {
     "acclus": (
         "ACCluster",

@@ -142,10 +142,22 @@ def local_getis(spark, sf):
     return X.rounded(autocorr.local_autocorr(X.samples(spark, sf), "getis", 10, ANISO).join(rows, "id"), 3)
 
 
-@query()
+_total = "z.v1 + z.v2 + z.v3 + z.v4"
+_getis = lambda v: f"sum(n.{v}) / (greatest(1e-10, any_value({_total})) * count(*))"
+_digits = ((0.001, 9), (1e-6, 6), (float("-inf"), 2))  # a small sum makes large values, of which fewer digits are exact
+
+
+@query(
+    f"""with {S}, {rot(ANISO, 'xy')}, {near(10, 2)}
+    select i as id, {', '.join('case ' + ' '.join(f"when any_value({_total}) > {num(a) if a > 0 else "'-infinity'::double"} then {R(_getis(v), n)}" for a, n in _digits) + f' end as a_{v}' for v in V)}
+    from nn join s z on z.id = i join s n on n.id = j where i <> j group by i"""
+)
 def local_getis_all(spark, sf):
     """Every sample; those whose variables sum to 1e-10 or less have that as their sum."""
-    return autocorr.local_autocorr(X.samples(spark, sf), "getis", 10, ANISO)
+    found = autocorr.local_autocorr(X.samples(spark, sf), "getis", 10, ANISO)
+    found = found.join(X.frame(spark, sf).select("id", (F.col("v1") + F.col("v2") + F.col("v3") + F.col("v4")).alias("_total")), "id")
+    by = lambda c: F.coalesce(*(F.when(F.col("_total") > a, X.tidy(c, n)) for a, n in _digits)).alias(c)
+    return found.select("id", *(by(f"a_{v}") for v in V))
 
 
 _pairs = "from nn join y z on z.id = i join y n on n.id = j"
@@ -539,7 +551,7 @@ def ward(spark, sf):
 
 @query()
 def spectral_pic(spark, sf):
-    return consensus.consensus(X.labels(spark, sf), 4, method="spec", exact=0)[0]
+    return consensus.consensus(X.labels(spark, sf), 4, method="power")[0]
 
 
 @query()
@@ -621,7 +633,7 @@ def elbow(spark, sf):
     return clusterers.elbow(X.frame(spark, sf), V, 5, 2)
 
 
-@query()
+@query(f"with {S} select " + ", ".join(f"cast(printf('%.8g', cast({c} as double)) as double) as {c}" for c in ("id", "x", "y", *V)) + " from s")
 def geoeas_roundtrip(spark, sf):
     import tempfile
 
