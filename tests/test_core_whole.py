@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from stratalode.operators import ensembles
 from stratalode.plans import fixtures as X
@@ -123,3 +124,138 @@ def test_grid_neighbours_of_clusters_outliers_copies_and_small_groups(spark, mon
             own = np.flatnonzero(group == g)
             for i, row in enumerate(brute_knn(p, p[own], own.tolist(), 4)):
                 assert [j for _, j in sorted(got.get((i, g), []))] == [j for d, j in row if d <= 25]
+
+
+def table(spark, sf_dir):
+    return X.frame(spark, sf_dir).orderBy("id").toPandas()
+
+
+def same_parts(a, b):
+    """Whether two labellings cut the samples alike, whatever the labels."""
+    pairs = set(zip(a, b, strict=True))
+    return len(pairs) == len(set(a)) == len(set(b))
+
+
+@pytest.mark.parametrize("ordinary", [True, False])
+def test_kriging_estimates_of_every_sample(spark, sf_dir, ordinary):
+    rows = table(spark, sf_dir)
+    places, values = rows[["x", "y"]].to_numpy(), rows["v1"].to_numpy()
+    turn, total = np.array(X.ANISO.matrix())[:, :2], 1.0
+
+    def cov(a, b, reach):
+        d2 = [((a[:, None] - b[None]) ** 2).sum(2), (((a[:, None] - b[None]) @ turn.T) ** 2).sum(2)]
+        h = np.sqrt(d2[0]) / 0.8
+        parts = [np.where(h > 1, 0, 1 - 1.5 * h + 0.5 * h**3), np.exp(-3 * np.sqrt(d2[1]) / reach)]
+        return sum(sill * np.where(d < 1e-9, total, p) for sill, d, p in zip((0.5, 0.4), d2, parts, strict=True))
+
+    got = registry.QUERIES["ok_estimate" if ordinary else "sk_estimate"](spark, sf_dir).orderBy("id").toPandas()
+    assert got["id"].tolist() == rows["id"].tolist()
+    for i in range(len(rows)):
+        near = np.argsort(((places - places[i]) ** 2).sum(1), kind="stable")[:10]
+        near = near[near != i]
+        k, r = cov(places[near], places[near], 0.8), cov(places[near], places[i : i + 1], 0.3)[:, 0]
+        np.fill_diagonal(k, total)
+        if ordinary:
+            one = np.ones((len(near), 1))
+            k, r = np.block([[k, one], [one.T, np.zeros((1, 1))]]), np.append(r, 1)
+        assert abs(np.linalg.solve(k, r)[: len(near)] @ values[near] - got["estimate"][i]) < 1e-6
+
+
+def naive_ward(x, k):
+    """Agglomeration by the least growth of the summed squares, over all pairs at each step."""
+    parts = [[i] for i in range(len(x))]
+    size, mean = np.ones(len(x)), x.astype(float).copy()
+    cost = 0.5 * ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(cost, np.inf)
+    for _ in range(len(x) - k):
+        a, b = divmod(int(cost.argmin()), len(x))
+        mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+        size[a], parts[a], parts[b] = size[a] + size[b], parts[a] + parts[b], None
+        cost[b], cost[:, b] = np.inf, np.inf
+        alive = np.array([p is not None for p in parts])
+        alive[a] = False
+        cost[a, alive] = cost[alive, a] = size[a] * size[alive] / (size[a] + size[alive]) * ((mean[alive] - mean[a]) ** 2).sum(1)
+    out = np.zeros(len(x), int)
+    for n, p in enumerate(p for p in parts if p):
+        out[p] = n
+    return out
+
+
+def test_ward_of_every_sample(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    got = registry.QUERIES["ward"](spark, sf_dir).orderBy("id").toPandas()
+    assert got["id"].tolist() == rows["id"].tolist() and sorted(set(got["cluster"])) == [1, 2, 3, 4]
+    assert same_parts(got["cluster"], naive_ward(rows[list(X.V)].to_numpy(), 4))
+
+
+def test_consensus_of_every_sample(spark, sf_dir):
+    from stratalode.operators import consensus
+
+    labels = X.labels(spark, sf_dir).orderBy("real", "id").toPandas()
+    codes = labels["cluster"].to_numpy().reshape(4, -1)
+    matrix = (codes[:, :, None] == codes[:, None, :]).mean(0)
+    final = consensus.consensus(X.labels(spark, sf_dir), 4, method="hier")[0].orderBy("id").toPandas()["cluster"].to_numpy()
+
+    def cost(part):
+        return sum(((matrix[part == c] - matrix[part == c].mean(0)) ** 2).sum() for c in set(part))
+
+    # rows that tie may merge in another order, so costs are compared, not parts
+    assert len(set(final)) == 4 and abs(cost(final) / cost(naive_ward(matrix, 4)) - 1) < 0.02
+    for method in ("hier", "spec"):
+        with pytest.raises(ValueError, match="use power"):
+            consensus.consensus(X.labels(spark, sf_dir), 4, method=method, exact=100)
+
+
+def test_scaling_of_every_sample(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    x = rows[list(X.V)].to_numpy()
+    x = (x - x.mean(0)) / x.std(0)
+    _, vectors = np.linalg.eigh(x.T @ x)
+    got = registry.QUERIES["mds_embed"](spark, sf_dir).orderBy("id").toPandas()
+    assert got["id"].tolist() == rows["id"].tolist()
+    for n in (1, 2):
+        want, e = x @ vectors[:, -n], got[f"e{n}"].to_numpy()
+        assert min(np.abs(e - want).max(), np.abs(e + want).max()) < 1e-6
+
+
+def test_kmeans_of_every_sample(spark, sf_dir):
+    rows = table(spark, sf_dir)
+    x = rows[list(X.V)].to_numpy()
+    got = registry.QUERIES["kmeans"](spark, sf_dir).orderBy("id").toPandas()
+    part = got["cluster"].to_numpy()
+    assert got["id"].tolist() == rows["id"].tolist() and set(part) == {0, 1, 2, 3}
+
+    def settle(part):
+        for _ in range(300):
+            means = np.stack([x[part == c].mean(0) if (part == c).any() else x[0] for c in range(4)])
+            part = ((x[:, None] - means[None]) ** 2).sum(2).argmin(1)
+        return part, ((x - means[part]) ** 2).sum()
+
+    means = np.stack([x[part == c].mean(0) for c in range(4)])
+    cost = ((x - means[part]) ** 2).sum()
+    assert (((x[:, None] - means[None]) ** 2).sum(2).argmin(1) == part).mean() > 0.95
+    rng = np.random.RandomState(1)
+    starts = [settle(((x[:, None] - x[rng.choice(len(x), 4, False)][None]) ** 2).sum(2).argmin(1))[1] for _ in range(10)]
+    assert cost < 1.05 * np.median(starts)
+
+
+def test_metrics_of_every_realisation(spark, sf_dir):
+    from stratalode.operators import metrics
+
+    rows, labels = table(spark, sf_dir), X.labels(spark, sf_dir)
+    places, values = rows[["x", "y"]].to_numpy(), rows[list(X.V)].to_numpy()
+    near = ((places[:, None] - places[None]) ** 2).sum(2).argsort(1, kind="stable")[:, :10]
+    both = [f.orderBy("real", "id").toPandas()["cluster"].to_numpy().reshape(4, -1) for f in (labels, metrics.permuted(labels, 69069))]
+    assert (np.sort(both[0], 1) == np.sort(both[1], 1)).all() and (both[0] != both[1]).any()
+
+    def entropy(part):
+        p = np.stack([(part[near] == c).mean(1) for c in sorted(set(part))])
+        return -(p * np.log(np.where(p > 0, p, 1))).sum()
+
+    def wcss(part):
+        return sum(((values[part == c] - values[part == c].mean(0)) ** 2).sum() for c in set(part))
+
+    got = metrics.cluster_metrics(X.samples(spark, sf_dir), labels, 10, X.PLAIN, "wcss").orderBy("real").collect()
+    assert len(got) == 4
+    for r, part, other in zip(got, *both, strict=True):
+        assert abs(r["sp"] - entropy(part) / entropy(other)) < 1e-9 and abs(r["mv"] - wcss(part) / wcss(other)) < 1e-9
