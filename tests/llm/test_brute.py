@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import struct
 import zlib
 
 import duckdb
@@ -106,6 +107,37 @@ def test_token_files(spark, sf_dir, texts):
     assert not got
 
 
+def plain_peaks(payload):
+    """Pairs of spectral peaks (code, frame), a frame and a band at a time."""
+    x = np.frombuffer(payload, np.uint8).astype(float) - 128
+    n = max(0, math.ceil((len(x) - 256) / 128)) + 1
+    x, window = np.append(x, np.zeros((n - 1) * 128 + 256 - len(x))), np.hanning(256)
+    best = np.zeros((n + 2, 4, 2))  # energy and bin, with silence at both ends
+    for t in range(n):
+        energy = np.abs(np.fft.rfft(x[128 * t : 128 * t + 256] * window)) ** 2
+        for band in range(4):
+            own = energy[1 + 32 * band : 33 + 32 * band]
+            best[t + 1, band] = own.max(), 1 + 32 * band + own.argmax()
+    peaks = [(t - 1, int(best[t, b, 1])) for t in range(1, n + 1) for b in range(4) if best[t - 1, b, 0] < best[t, b, 0] >= best[t + 1, b, 0]]
+    pairs = [(t, f << 16 | g << 8 | u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 4] if u - t <= 63]
+    return [(c, t) for t, c in sorted(pairs)]
+
+
+def test_media(spark, sf_dir, texts):
+    rows = queries.QUERIES["op9_media"](spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    alike = 0
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        head = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload))
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(head) + len(payload))
+        assert (r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(head + payload).hexdigest())
+        pairs = plain_peaks(payload)
+        alike += r["feature"] == f"{len(pairs)}:{hashlib.sha256(','.join(f'{c:X}@{t}' for c, t in pairs).encode()).hexdigest()}"
+    assert alike >= 0.99 * len(rows)  # energies that all but tie may fall to either side in single precision
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library_on_odd_texts(name):
     from tokenizers import Tokenizer
