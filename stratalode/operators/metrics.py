@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Search
 from .autocorr import edges
-from .moments import RIDGE, kernel_sums, standardise
+from .moments import RIDGE, kernel_sums, range_ranks, standardise
 
 
 def cluster_moments(frame: DataFrame, variables: Sequence[str], label: str = "cluster", by: Sequence[str] = (), ridge: float = RIDGE) -> DataFrame:
@@ -104,7 +104,7 @@ def kld(frame: DataFrame, variables: Sequence[str], label: str = "cluster", band
     """One row (distance): symmetrised Kullback-Leibler sums between the clusters' kernel densities, over the samples.
 
     Needs three clusters or more. Each cluster's covariance (of the variables as they come) gives its kernel; band -1
-    standardises the points. Each cluster's points are broadcast in bounded blocks. A density that underflows to zero
+    standardises the points. They are broadcast in bounded blocks, and a block meets every sample in one pass. A density that underflows to zero
     drops out of the sum.
     """
     stats = {r["cluster"]: r for r in cluster_moments(frame, variables, label).collect()}
@@ -116,11 +116,9 @@ def kld(frame: DataFrame, variables: Sequence[str], label: str = "cluster", band
         cov = np.array(r["cov"]).reshape(len(variables), -1) + RIDGE * np.eye(len(variables))
         norms[r["cluster"]] = float(np.sqrt((cov**2).sum()) * (2 * np.pi) ** (0.5 * len(variables)))
     scaled = standardise(points, variables, floor=None) if band == -1 else points
-    out = None
-    for c in sorted(stats):
-        own = kernel_sums(scaled, scaled.where(F.col("cluster") == c), variables, np.array(stats[c]["rows"]), id)
-        part = own.select(id, F.lit(c).alias("of"), (F.col("total") / max(1e-10, norms[c])).alias("p"))
-        out = part if out is None else out.unionByName(part)
+    out = kernel_sums(scaled, scaled.withColumnRenamed("cluster", "of"), variables, {c: np.array(r["rows"]) for c, r in stats.items()}, id)
+    norm = F.create_map(*(F.lit(x) for c in norms for x in (c, max(1e-10, norms[c]))))
+    out = out.select(id, "of", (F.col("total") / norm[F.col("of")]).alias("p"))
     own = points.select(id, "cluster").join(out, id)
     home = own.where("cluster = of").select(id, F.col("p").alias("home"))
     terms = own.where("cluster <> of").join(home, id).select((F.col("home") * F.ln(F.try_divide("home", "p"))).alias("t"))
@@ -139,21 +137,22 @@ METRICS: dict[str, Callable] = {"wcss": wcss, "mwcss": mwcss}
 
 
 def permuted(labels: DataFrame, seed: int) -> DataFrame:
-    """(real, id, cluster) with the clusters of each realisation dealt to other samples by a seeded hash."""
-    from pyspark.sql import Window
-
-    here = labels.withColumn("_a", F.row_number().over(Window.partitionBy("real").orderBy("id")))
-    there = labels.select("real", "cluster", F.row_number().over(Window.partitionBy("real").orderBy(F.xxhash64("id", "real", F.lit(seed)), "id")).alias("_a"))
-    return here.drop("cluster").join(there, ["real", "_a"]).select("real", "id", "cluster")
-
-
-def cluster_metrics(samples, labels: DataFrame, k: int, search: Search, metric: str | Callable = "mwcss", seed: int = 69069) -> DataFrame:
-    """(real, mv, sp): the multivariate metric and the summed entropy of each realisation, both over their values for a
-    random permutation of its labels. metric: wcss, mwcss, or a function (frame, variables, label, by) of a frame."""
+    """(real, id, cluster) with the clusters of each realisation dealt to other samples by a seeded hash: the sample of
+    the n-th least id gets the cluster of the sample of the n-th least hash. Both are ranked by ranges."""
+    here = range_ranks(labels.select("real", "id"), "real", ["id"])
+    hashed = labels.select("real", "id", "cluster", F.xxhash64("id", "real", F.lit(seed)).alias("_h"))
+    there = range_ranks(hashed, "real", ["_h", "id"]).select("real", "_rank", "cluster")
+    return here.join(there, ["real", "_rank"]).select("real", "id", "cluster")
+
+
+def cluster_metrics(samples, labels: DataFrame, k: int, search: Search, metric: str | Callable = "mwcss", seed: int = 69069, reference: DataFrame | None = None) -> DataFrame:
+    """(real, mv, sp): the multivariate metric and the summed entropy of each realisation, both over their values for the
+    reference labels of that realisation, by default a random permutation of its own. metric: wcss, mwcss, or a function
+    (frame, variables, label, by) of a frame."""
     function = METRICS[metric] if isinstance(metric, str) else metric
     plain, near = samples.plain(), edges(samples, k, search)
     out = None
-    for name, rows in (("", labels), ("_ref", permuted(labels, seed))):
+    for name, rows in (("", labels), ("_ref", permuted(labels, seed) if reference is None else reference)):
         full = rows.join(plain.select("id", *samples.variables), "id")
         mv = function(full, samples.variables, "cluster", ("real",))
         mv = mv.toDF("real", f"mv{name}")
@@ -167,12 +166,14 @@ def stats_text(frame: DataFrame, mv: str = "mv", sp: str = "sp") -> Column:
     return F.format_string("MV: %.2f\nSP: %.2f", F.col(mv), F.col(sp))
 
 
-def cluster_metrics_single(samples, labels: DataFrame, k: int, search: Search, metric: str | Callable = "wcss", seed: int = 69069) -> DataFrame:
-    """One row (mv, sp) for one labelling (id, cluster), both over their values for permuted labels."""
-    return cluster_metrics(samples, labels.select(F.lit(0).cast("long").alias("real"), "id", "cluster"), k, search, metric, seed).select("mv", "sp")
+def cluster_metrics_single(samples, labels: DataFrame, k: int, search: Search, metric: str | Callable = "wcss", seed: int = 69069, reference: DataFrame | None = None) -> DataFrame:
+    """One row (mv, sp) for one labelling (id, cluster), both over their values for the reference labels (id, cluster),
+    by default permuted ones."""
+    one = lambda rows: None if rows is None else rows.select(F.lit(0).cast("long").alias("real"), "id", "cluster")
+    return cluster_metrics(samples, one(labels), k, search, metric, seed, one(reference)).select("mv", "sp")
 
 
-def label_stats(samples, labels: DataFrame, k: int, search: Search, metric: str | Callable = "wcss", seed: int = 69069) -> DataFrame:
+def label_stats(samples, labels: DataFrame, k: int, search: Search, metric: str | Callable = "wcss", seed: int = 69069, reference: DataFrame | None = None) -> DataFrame:
     """One row (mv, sp, label): the two metrics of a labelling, and the text that annotates a map with them."""
-    found = cluster_metrics_single(samples, labels, k, search, metric, seed)
+    found = cluster_metrics_single(samples, labels, k, search, metric, seed, reference)
     return found.withColumn("label", stats_text(found))

@@ -53,22 +53,31 @@ def standardise(frame: DataFrame, variables: Sequence[str], floor: float | None
     return rows.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / scale(c) for c in variables}).drop(*(x for c in variables for x in (f"_m_{c}", f"_s_{c}")))
 
 
+def range_ranks(rows: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
+    """The rows with _rank, their place from 1 among those of equal `by`, and _all, how many those are.
+
+    Rows are dealt out by ranges of (by, order); places are counted within a range and added to the counts of the ranges
+    before, so no task sorts all rows of one `by`. The order must leave no ties.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, by, *order).withColumn("_part", F.spark_partition_id())
+    # which range a row falls in must not change between the two uses of it
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_part", by).orderBy(*order))).persist()
+    sizes = rows.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(by, "_part", F.coalesce(ahead, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias("_all"))
+    found = rows.join(F.broadcast(sizes), [by, "_part"])  # fewer rows than ranges and values of `by` together
+    return found.withColumn("_rank", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def normal_score(frame: DataFrame, variables: Sequence[str], id: str = "id") -> DataFrame:
     """The frame with each variable replaced by the standard normal quantile of (rank - 0.5) / n; ties rank by id.
 
-    All variables go through one range partitioning by variable, value and id; ranks are counted within a range and added
-    to the counts of the ranges before, so no task sorts a whole column and columns don't shuffle one by one.
+    All variables go through one range partitioning, by variable, value and id.
     """
-    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = F.inline(F.array(*(F.struct(F.lit(n).alias("_c"), F.col(c).cast("double").alias("_v")) for n, c in enumerate(variables))))
-    rows = frame.select(F.col(id).alias("_id"), cells).repartitionByRange(parts, "_c", "_v", "_id").withColumn("_part", F.spark_partition_id())
-    # which range a row falls in must not change between the two uses of it
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", "_c").orderBy("_v", "_id"))).persist()
-    sizes = rows.groupBy("_c", "_part").agg(F.count("*").alias("_n"))
-    ahead = F.sum("_n").over(Window.partitionBy("_c").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_c", "_part", F.coalesce(ahead, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_c")).alias("_all"))
-    found = rows.join(F.broadcast(sizes), ["_c", "_part"])  # a row per partition and variable
-    found = found.select("_id", "_c", inverse_normal((F.col("_rank") + F.col("_before") - 0.5) / F.col("_all").cast("double")).alias("_z"))
+    found = range_ranks(frame.select(F.col(id).alias("_id"), cells), "_c", ["_v", "_id"])
+    found = found.select("_id", "_c", inverse_normal((F.col("_rank") - 0.5) / F.col("_all").cast("double")).alias("_z"))
     wide = found.groupBy("_id").agg(*(F.max(F.when(F.col("_c") == n, F.col("_z"))).alias(f"_z{n}") for n in range(len(variables))))
     place = {c: f"_z{n}" for n, c in enumerate(variables)}
     others = [c for c in frame.columns if c not in place and c != id]
@@ -91,34 +100,38 @@ def density(frame: DataFrame, variables: Sequence[str], band: float = -1.0, tiny
     cov = np.array([[rows[a, b] for b in variables] for a in variables])
     divisor = max(tiny, math.sqrt((cov**2).sum()) * (2 * math.pi) ** (0.5 * len(variables)))
     inverse = np.linalg.inv(cov) / (2 * band) if band > 0 else np.linalg.inv(cov)
-    return kernel_sums(points, points, variables, inverse.sum(1), id).select(id, (F.col("total") / F.lit(float(divisor))).alias("density"))
+    found = kernel_sums(points, points.withColumn("of", F.lit(0).cast("long")), variables, {0: inverse.sum(1)}, id)
+    return found.select(id, (F.col("total") / F.lit(float(divisor))).alias("density"))
 
 
-def kernel_sums(at: DataFrame, points: DataFrame, variables: Sequence[str], row_sums: np.ndarray, id: str = "id", block: int = 50_000) -> DataFrame:
-    """(id, total): sum over points of exp(- sum of row_sums * gap ** 2), the points broadcast a bounded block at a time."""
+def kernel_sums(at: DataFrame, points: DataFrame, variables: Sequence[str], row_sums: dict[int, np.ndarray], id: str = "id", block: int = 50_000) -> DataFrame:
+    """(id, of, total): for each group `of` of the points, sum over its points of exp(- sum of row_sums[of] * gap ** 2).
+    The points of all groups are broadcast a bounded block at a time, and each block takes one pass."""
+    names = sorted(row_sums)
     n = points.count()
     blocks = max(1, -(-n // block))
     out = None
     for b in range(blocks):
         own = points.where(F.pmod(F.xxhash64(id), F.lit(blocks)) == b) if blocks > 1 else points
-        table = own.select(*variables).toArrow()
-        shared = at.sparkSession.sparkContext.broadcast(np.stack([table.column(c).to_numpy() for c in variables], 1))
+        table = own.select("of", *variables).toArrow()
+        of, places = table.column("of").to_numpy(), np.stack([table.column(c).to_numpy() for c in variables], 1)
+        shared = at.sparkSession.sparkContext.broadcast({name: places[of == name] for name in names})
 
         def run(batches, shared=shared):
-            p = shared.value
             for batch in batches:
                 x = np.stack([batch.column(1 + j).to_numpy() for j in range(len(variables))], 1)
-                total = np.zeros(len(x))
-                for a in range(0, len(x), 256):
-                    e = np.zeros((len(x[a : a + 256]), len(p)))
-                    for j, r in enumerate(row_sums):
-                        e += r * (x[a : a + 256, j, None] - p[None, :, j]) ** 2
-                    total[a : a + 256] = np.exp(-e).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total)], names=[id, "total"])
-
-        part = at.select(F.col(id).cast("long").alias(id), *variables).mapInArrow(run, f"{id} long, total double")
+                for name, p in shared.value.items():
+                    total = np.zeros(len(x))
+                    for a in range(0, len(x), 256):
+                        e = np.zeros((len(x[a : a + 256]), len(p)))
+                        for j, r in enumerate(row_sums[name]):
+                            e += r * (x[a : a + 256, j, None] - p[None, :, j]) ** 2
+                        total[a : a + 256] = np.exp(-e).sum(1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), name, np.int64)), pa.array(total)], names=[id, "of", "total"])
+
+        part = at.select(F.col(id).cast("long").alias(id), *variables).mapInArrow(run, f"{id} long, of long, total double")
         out = part if out is None else out.unionByName(part)
-    return out if blocks == 1 else out.groupBy(id).agg(F.sum("total").alias("total"))
+    return out if blocks == 1 else out.groupBy(id, "of").agg(F.sum("total").alias("total"))
 
 
 def odd_form(variables: Sequence[str], row_sums: Sequence[float]) -> Column:

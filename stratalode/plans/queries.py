@@ -533,6 +533,58 @@ def centered_cov_grid(spark, sf):
     return X.rounded(kriging.centred(kriging.grid(spark, 20, 0.05, 0.1, 15, 0.05, 0.1, 5, 0.05, 0.2), (0.55, 0.4, 0.3), MODEL))
 
 
+def _krige2(weights: str) -> str:
+    """SQL of the estimate from the two nearest others, with a system of two rows solved by hand."""
+    c, r1, r2 = _model_sql("p.", "q.", "xy", False), _model_sql("s.", "p.", "xy", True), _model_sql("s.", "q.", "xy", True)
+    return f"""with {S}, {rot(PLAIN, 'xy')}, {near(3, 2)}, e as (select i, j, row_number() over (partition by i order by rk) as n from nn where i <> j),
+    t as (select s.id, p.v1 as f, q.v1 as g, {num(MODEL.total)} as t, {c} as c, {r1} as r1, {r2} as r2 from e a join e b on b.i = a.i and a.n = 1 and b.n = 2 join s on s.id = a.i join s p on p.id = a.j join s q on q.id = b.j)
+    select id, {R(weights)} as estimate from t"""
+
+
+@query(_krige2("((t * r1 - c * r2) * f + (t * r2 - c * r1) * g) / (t * t - c * c)"))
+def sk_estimate_near2(spark, sf):
+    return X.rounded(kriging.estimate(X.samples(spark, sf), "v1", MODEL, 3, PLAIN, ordinary=False))
+
+
+@query(_krige2("g + (0.5 + 0.5 * (r1 - r2) / (t - c)) * (f - g)"))
+def ok_estimate_near2(spark, sf):
+    return X.rounded(kriging.estimate(X.samples(spark, sf), "v1", MODEL, 3, PLAIN))
+
+
+# --- metrics of realisations against given reference labels --------------------------------------------------------------------
+_METRICS = f"""with {S}, {LABELS}, {rot(PLAIN, 'xy')}, {near(10, 2)},
+    w as (select real, sum(m) as mv from (select real, cluster, count(*) * (var_pop(v1) + var_pop(v2) + var_pop(v3) + var_pop(v4)) as m from lab join s using (id) group by all) group by real),
+    n as (select real, i, cluster, count(*) / 10.0::double as p from nn join lab on lab.id = j group by all), e as (select real, -sum(p * ln(p)) as sp from n group by real),
+    m as (select * from w join e using (real)), st as (select a.real, a.mv / b.mv as mv, a.sp / b.sp as sp from m a join m b on a.real = b.real % 4 + 1)"""
+
+
+def _against_next(spark, sf):
+    """Each realisation's metrics against the labels of the one before."""
+    own = X.labels(spark, sf)
+    return metrics.cluster_metrics(X.samples(spark, sf), own, 10, PLAIN, "wcss", reference=own.withColumn("real", F.col("real") % 4 + 1))
+
+
+@query(f"{_METRICS} select real, {R('mv')} as mv, {R('sp')} as sp from st")
+def cluster_metrics_given(spark, sf):
+    return X.rounded(_against_next(spark, sf))
+
+
+@query(f"{_METRICS} select {R('mv')} as mv, {R('sp')} as sp, format('MV: {{:.2f}}\nSP: {{:.2f}}', mv, sp) as label from st where real = 2")
+def label_stats_given(spark, sf):
+    one = lambda r: X.labels(spark, sf).where(F.col("real") == r).select("id", "cluster")
+    return X.rounded(metrics.label_stats(X.samples(spark, sf), one(2), 10, PLAIN, reference=one(1)))
+
+
+_PICK = "(select real from st where real not in ({}) order by power(sp - {}, 2) + power(mv - {}, 2), real limit 1)"
+
+
+@query(f"{_METRICS}, p1 as {_PICK.format('0', '0.5', '0.0')}, p2 as {_PICK.format('select real from p1', '0.25', '0.25')} select * from lab where real in (select real from p1 union all select real from p2)")
+def subensemble_given(spark, sf):
+    model = ensembles.Ensemble(X.samples(spark, sf), nreal=4, near=10, search=PLAIN)
+    model.labels, model.stats = X.labels(spark, sf), _against_next(spark, sf)
+    return model.subensemble(2)
+
+
 # --- iterative operators: no SQL -----------------------------------------------------------------------------------------------
 @query()
 def kmeans(spark, sf):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -43,11 +44,20 @@ def write_geoeas(frame: DataFrame, path: str, order: str, columns: list[str] | N
     """Writes the columns as one GEOEAS file below path, numbers with eight significant digits, rows in the order of a
     column. One file has one writer: rows stream through it, sorted beforehand by ranges."""
     columns = columns or [c for c in frame.columns if c != order]
-    text = F.udf(lambda *v: " ".join("nan" if x is None else number(x) for x in v), "string")
-    spark = frame.sparkSession
-    head = spark.createDataFrame([(-1, float(n), x) for n, x in enumerate([title, str(len(columns)), *columns])], "a int, o double, value string")
-    body = frame.select(F.lit(0).alias("a"), F.col(order).cast("double").alias("o"), text(*(F.col(c).cast("double") for c in columns)).alias("value"))
-    head.unionByName(body).orderBy("a", "o").select("value").coalesce(1).write.mode("overwrite").text(path)
+    head = [title, str(len(columns)), *columns]
+
+    def lines(batches):
+        for batch in batches:
+            values = [batch.column(1 + n).to_numpy(zero_copy_only=False).tolist() for n in range(len(columns))]  # a null is nan
+            text = [" ".join(map(number, row)) for row in zip(*values, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["o", "value"])
+
+    kind = frame.select(F.col(order).alias("o")).schema
+    rows = frame.select(F.col(order).alias("o"), *(F.col(c).cast("double") for c in columns))
+    body = rows.mapInArrow(lines, StructType([*kind, StructField("value", StringType())])).select(F.lit(len(head)).alias("a"), "o", "value")
+    first = frame.sparkSession.createDataFrame(list(enumerate(head)), "a int, value string")
+    first = first.select("a", F.lit(None).cast(kind["o"].dataType).alias("o"), "value")
+    first.unionByName(body).orderBy("a", "o").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 class GeoeasReader(DataSourceReader):
