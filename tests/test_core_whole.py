@@ -259,3 +259,202 @@ def test_metrics_of_every_realisation(spark, sf_dir):
     assert len(got) == 4
     for r, part, other in zip(got, *both, strict=True):
         assert abs(r["sp"] - entropy(part) / entropy(other)) < 1e-9 and abs(r["mv"] - wcss(part) / wcss(other)) < 1e-9
+
+
+def by_hash(rows, seed):
+    from pyspark.sql import functions as F
+
+    return rows.select("real", "id", "cluster", F.xxhash64("id", "real", F.lit(seed)).alias("h"))
+
+
+def test_permuted_labels_by_a_plain_sort(spark):
+    from stratalode.operators import metrics
+
+    labels = spark.range(3000).selectExpr("id % 3 as real", "id * 7 % 1000 as id", "id % 11 as cluster")
+    rows = by_hash(labels, 5).toPandas()
+    want = {}
+    for real, part in rows.groupby("real"):
+        want |= {(real, i): c for i, c in zip(sorted(part["id"]), part.sort_values(["h", "id"])["cluster"], strict=True)}
+    assert {(r["real"], r["id"]): r["cluster"] for r in metrics.permuted(labels, 5).collect()} == want and len(want) == 3000
+
+
+def test_kernel_sums_in_blocks_equal_one_pass(spark):
+    from stratalode.operators import moments
+
+    rng = np.random.RandomState(2)
+    x, of = rng.randn(90, 2), rng.randint(0, 3, 90)
+    points = spark.createDataFrame([(i, int(g), *map(float, p)) for i, (g, p) in enumerate(zip(of, x, strict=True))], "id long, of long, a double, b double")
+    sums = {0: np.array([1.0, 2.0]), 1: np.array([0.5, 0.1]), 2: np.array([3.0, 0.2])}
+    for block in (1000, 40):
+        got = moments.kernel_sums(points, points, ("a", "b"), sums, block=block).collect()
+        assert len(got) == 270
+        for r in got:
+            gap = (x[r["id"]] - x[of == r["of"]]) ** 2
+            assert abs(r["total"] - np.exp(-(gap @ sums[r["of"]])).sum()) < 1e-9
+
+
+def test_kriging_path_with_a_search_for_each_category(spark):
+    from stratalode.frames import Samples
+    from stratalode.functions.covariance import SPHERICAL, Structure, Variogram
+    from stratalode.functions.geometry import Search
+
+    rng = np.random.RandomState(8)
+    codes, xy, v = rng.randint(0, 2, 50), rng.rand(50, 2) * 4, rng.randn(50, 2)
+    v[codes == 1] += 1.5
+    rows = [(i, *map(float, (*p, *u)), int(c)) for i, (p, u, c) in enumerate(zip(xy, v, codes, strict=True))]
+    samples = Samples(spark.createDataFrame(rows, "id long, x double, y double, v double, w double, domaincode long"), ("x", "y"), ("v", "w"))
+    models = {(c, n): Variogram(0.2, (Structure(SPHERICAL, 0.8, 3.0),)) for c in (0, 1) for n in (0, 1)}
+    searches = {0: Search(30, 0, 0, 2, 1, 1), 1: Search(120, 0, 0, 3, 1.5, 1)}
+    model = ensembles.KrigingPath(samples, nreal=2, models=models, most_near=7, path_search=searches)
+    got = {(r["real"], r["id"]): r["cluster"] for r in model.fit().labels.collect()}
+
+    def cov(a, b):
+        h = np.minimum(np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) / 3.0, 1)
+        return 0.8 * (1 - 1.5 * h + 0.5 * h**3)
+
+    spaces = {c: (xy @ np.array(s.matrix())[:, :2].T)[:, :2] for c, s in searches.items()}
+    want = {}
+    for real, seed in enumerate(ensembles.seeds(2, 69069)):
+        now = codes.copy()
+        for i in np.random.RandomState(seed).permutation(50):
+            errors = []
+            for c, p in spaces.items():
+                gap = np.sqrt(((p - p[i]) ** 2).sum(1))
+                own = [j for j in sorted(np.flatnonzero(now == c), key=lambda j: gap[j])[:7] if gap[j] < searches[c].r1 and j != i]
+                estimate = np.zeros(2)
+                if len(own) > 2:
+                    k = np.ones((len(own) + 1,) * 2)
+                    k[:-1, :-1] = cov(p[own], p[own])
+                    np.fill_diagonal(k, 1.0)
+                    k[-1, -1] = 0
+                    estimate = np.linalg.solve(k, np.append(cov(p[own], p[i : i + 1])[:, 0], 1))[:-1] @ v[own]
+                errors.append(np.abs((estimate - v[i]) / np.maximum(1e-5, estimate)).mean() if (now == c).any() else np.inf)
+            now[i] = int(np.argmin(errors))
+        want |= {(real, i): int(c) for i, c in enumerate(now)}
+    assert got == want
+    with pytest.raises(ValueError, match="no search"):
+        ensembles.KrigingPath(samples, nreal=1, models=models, path_search={0: searches[0]}).fit()
+
+
+def plain_ward(a, b):
+    middle = (a.mean(0) - b.mean(0)) / 2
+    q = (len(a) + len(b)) * (middle**2).sum()
+    return q / max(sum(((x - x.mean(0)) ** 2).sum() for x in (a, b)) + q, 1e-6)
+
+
+def plain_ward_mahalanobis(a, b, ridge):
+    q = within = 0.0
+    for x in (a, b):
+        sums = np.linalg.inv(np.cov(x.T, bias=True) + ridge * np.eye(x.shape[1])).sum(1)
+        q += len(x) * (sums * ((a.mean(0) - b.mean(0)) / 2) ** 2).sum()
+        within += (sums * ((x - x.mean(0)) ** 2).sum(0)).sum()
+    return q / (within + q)
+
+
+def scaled_and_near(spark, sf_dir, k=10):
+    """Standardised variables, and each sample's k nearest others, the most alike first."""
+    rows = table(spark, sf_dir)
+    x = rows[list(X.V)].to_numpy()
+    x = (x - x.mean(0)) / x.std(0)
+    places, near = rows[["x", "y"]].to_numpy(), []
+    for i in range(len(rows)):
+        own = [j for j in np.argsort(((places - places[i]) ** 2).sum(1), kind="stable") if j != i][:k]
+        near.append(sorted(own, key=lambda j: ((x[j] - x[i]) ** 2).sum()))
+    return rows, x, near
+
+
+def merge_once(rng, parts, x, k, distance):
+    """The codes of a random part and of the one, among the k of nearest centre, that is least distant."""
+    codes = list(parts)
+    one = codes[rng.randint(0, len(codes))]
+    centre = {c: x[parts[c]].mean(0) for c in codes}
+    around = sorted((c for c in codes if c != one), key=lambda c: ((centre[c] - centre[one]) ** 2).sum())[:k]
+    return one, min(around, key=lambda c: distance(x[parts[one]], x[parts[c]]))
+
+
+def numbered(parts, n, names):
+    out = np.empty(n, int)
+    for name, part in zip(names, parts, strict=True):
+        out[part] = name
+    return out
+
+
+def test_dual_space_search_of_every_sample(spark, sf_dir):
+    rows, x, near = scaled_and_near(spark, sf_dir)
+    n = len(rows)
+
+    def distance(a, b):
+        return plain_ward_mahalanobis(a, b, 1e-3) if min(len(a), len(b)) > 25 else plain_ward(a, b)
+
+    def realisation(seed):
+        rng = np.random.RandomState(seed)
+        while True:
+            home, count = {}, 0
+            for i in rng.permutation(n):
+                for j in near[i][:5]:
+                    if i not in home and j not in home:
+                        home[i] = home[j] = count
+                        count += 1
+                    else:
+                        home.setdefault(i, home.get(j))
+                        home.setdefault(j, home.get(i))
+            parts = {c: [i for i in range(n) if home.get(i, 0) == c] for c in range(count)}
+            while len(parts) > 6:
+                one, two = merge_once(rng, parts, x, 10, distance)
+                fresh = max(parts) + 1
+                parts[fresh] = parts.pop(one) + parts.pop(two)
+            if all(0.001 < len(p) / n < 0.999 for p in parts.values()):
+                return numbered(parts.values(), n, range(6))
+
+    got = registry.QUERIES["dssensemble"](spark, sf_dir).orderBy("real", "id").toPandas()["cluster"].to_numpy().reshape(8, n)
+    for labels, seed in zip(got, ensembles.seeds(8, 69069), strict=True):
+        assert (labels == realisation(seed)).all()
+
+
+def test_semi_supervised_search_of_every_sample(spark, sf_dir):
+    rows, x, near = scaled_and_near(spark, sf_dir)
+    n, names = len(rows), sorted(set(rows["domaincode"]))
+    codes, k = np.searchsorted(names, rows["domaincode"]), len(names)
+    enough = -(-n // 4)
+
+    def distance(a, b):
+        return plain_ward(a, b) if min(len(a), len(b)) < 50 else plain_ward_mahalanobis(a, b, 1e-4)
+
+    def realisation(seed):
+        rng = np.random.RandomState(seed)
+        while True:
+            order = rng.permutation(n)
+            home, fresh = {int(order[c]): c for c in range(k)}, k + 1
+            for i in order.tolist():
+                taken = 0
+                for j in map(int, near[i]):
+                    early = len(home) < enough
+                    if not (i in home and j in home) and not (early and codes[i] != codes[j]):
+                        if early:
+                            code = int(codes[i])
+                        elif i in home or j in home:
+                            code = home.get(i, home.get(j))
+                        else:
+                            code, fresh = fresh, fresh + 1
+                        home[i] = home[j] = code
+                        taken += 1
+                    taken += 1
+                    if taken >= 5:
+                        break
+            mini = np.array([home.get(i, 0) for i in range(n)])
+            parts = {c: np.flatnonzero(mini == c).tolist() for c in sorted(set(mini.tolist()))}
+            while len(parts) > k:
+                one, two = merge_once(rng, parts, x, 10, distance)
+                if one < k and two < k:
+                    continue
+                name = min(one, two) if min(one, two) < k else max(parts) + 1
+                both = parts.pop(one) + parts.pop(two)
+                parts[name] = both
+            if all(0.001 < len(p) / n < 0.999 for p in parts.values()):
+                return numbered(parts.values(), n, parts), mini
+
+    model = ensembles.SemiSupervised(X.samples(spark, sf_dir), nreal=2, near=10, search=X.PLAIN).fit()
+    both = [f.orderBy("real", "id").toPandas()["cluster"].to_numpy().reshape(2, n) for f in (model.labels, model.mini)]
+    for labels, mini, seed in zip(*both, ensembles.seeds(2, 69069), strict=True):
+        want = realisation(seed)
+        assert (labels == want[0]).all() and (mini == want[1]).all()

@@ -319,3 +319,26 @@ def test_label_stats(spark):
     s = samples(spark)
     row = metrics.label_stats(s, s.frame.select("id", F.col("code").alias("cluster")), 5, Search()).first()
     assert 0 < row["mv"] < 1 and row["label"] == f"MV: {row['mv']:.2f}\nSP: {row['sp']:.2f}"
+
+
+def test_geoeas_rows_in_the_order_of_text_and_with_nulls(spark, tmp_path):
+    f = spark.createDataFrame([("b", 2.0, None), ("a", 1.0, 0.1), ("c", 1e-9, 123456789.0)], "name string, x double, a double")
+    geoeas.write_geoeas(f, f"file://{tmp_path}/out", "name")
+    (part,) = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert part.read_text().splitlines() == ["saved data", "2", "x", "a", "1 0.1", "2 nan", "1e-09 1.2345679e+08"]
+
+
+def test_random_kinds_and_version(spark):
+    import stratalode
+    from stratalode.functions.covariance import random_kind
+
+    got = spark.range(3000).select(random_kind(7).alias("k")).groupBy("k").count().collect()
+    assert {r["k"] for r in got} == {1, 2, 3} and all(850 < r["count"] < 1150 for r in got)
+    assert stratalode.version() == stratalode.__version__
+
+
+def test_holes_of_text_and_null(spark):
+    rows = [(i, float(i % 7), float(i // 7), float(i % 5), float(i % 3), None if i % 4 == 0 else f"h{i % 4}") for i in range(60)]
+    s = Samples(spark.createDataFrame(rows, "id long, x double, y double, a double, b double, hole string"), ("x", "y"), ("a", "b"))
+    found = ensembles.RandomSubspace(s, nreal=2, near=5, holes="hole").fit(2).labels
+    assert found.count() == 120
