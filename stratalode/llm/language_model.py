@@ -79,18 +79,21 @@ def _index(s: Seating):
         def close():
             docs = sum((x[0] for x in held), [])
             out_of = np.array([held_out(d, s) for d in docs], bool)
-            hashes = np.concatenate([x[5] for x in held])
+            begins = np.cumsum([0, *(len(x[2]) for x in held)])
+            hashes = np.concatenate([x.pop() for x in held])
             lengths = np.concatenate([np.diff(x[4]) for x in held])
             _, index, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            del hashes
             by_count = np.argsort(-counts, kind="stable")
             rank = np.empty(len(counts), np.int64)
             rank[by_count] = np.arange(len(counts))
-            begins = np.concatenate([[0], np.cumsum([len(x[5]) for x in held])])
             first = index[by_count]
             source = np.searchsorted(begins, first, "right") - 1
             words = b"".join([held[b][1][held[b][2][i] : held[b][3][i]].tobytes() + END for b, i in zip(source.tolist(), (first - begins[source]).tolist(), strict=True)])
             stream = np.full(len(number) + len(docs), len(counts), np.int64)
-            stream[np.arange(len(number)) + np.repeat(np.arange(len(docs)), lengths)] = rank[number]
+            there = np.ones(len(stream), bool)
+            there[np.cumsum(lengths + 1) - 1] = False
+            stream[there] = rank[number]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 24) + n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([out_of.tobytes()], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([pa.compress(words, "zstd", asbytes=True)], pa.binary()), pa.array([pack(stream)], pa.binary())],
                 names=["chunk", "docs", "held", "size", "words", "ids"],
@@ -100,7 +103,7 @@ def _index(s: Seating):
             for rows, data, offsets in slices(batch):
                 low = T.LOWER[data]
                 starts, ends, first = T.words(low, offsets)
-                held.append((column(batch, "doc_id")[rows].to_pylist(), low, starts.astype(np.int32), ends.astype(np.int32), first, T.hash_words(low, starts, ends)))
+                held.append([column(batch, "doc_id")[rows].to_pylist(), low, starts.astype(np.int32), ends.astype(np.int32), first, T.hash_words(low, starts, ends)])
                 size += len(low) + 1
                 if size >= s.chunk_bytes:
                     yield from close()
@@ -119,21 +122,31 @@ def _split(words: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """A chunk that was read. Words have the numbers 0 to m - 1, END m, and BEGIN, a word before only, m + 1."""
+    """A chunk that was read. Words have the numbers 0 to m - 1, END m, and BEGIN, a word before only, m + 1. Where texts
+    is false, only the distinct pairs are kept of the words in their order."""
 
-    def __init__(self, size: int, words: bytes, ids: bytes | None = None):
+    def __init__(self, size: int, words: bytes, ids: bytes | None = None, texts: bool = True):
         data, offsets = _split(pa.decompress(words, size, "zstd", asbytes=True) if size else b"")
         self.m = len(offsets) - 1
         self.data, self.offsets = np.concatenate([data, np.frombuffer(END, np.uint8)]), np.append(offsets, len(data) + 1)
         self.hashes = np.concatenate([T.hash_words(data, offsets[:-1], offsets[1:]), [END_HASH, BEGIN_HASH]])
         self.width = self.m + 2
         if ids is not None:
-            self.stream = unpack(ids).astype(np.int64)
-            self.ends = np.flatnonzero(self.stream == self.m)
-            self.heads = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
-            before = np.concatenate([[self.m + 1], self.stream[:-1]])
-            before[self.heads] = self.m + 1
-            self.codes, self.inverse = np.unique(before * self.width + self.stream, return_inverse=True)
+            stream = unpack(ids).view(np.int64)
+            ends = np.flatnonzero(stream == self.m)
+            heads = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+            pairs = np.empty(len(stream), np.int64)
+            pairs[1:] = stream[:-1]
+            pairs[heads] = self.m + 1
+            pairs *= self.width
+            pairs += stream
+            if texts:
+                self.heads, self.stream = heads, stream.astype(np.int32)
+                self.codes, inverse = np.unique(pairs, return_inverse=True)
+                self.inverse = inverse.astype(np.int32)
+            else:
+                pairs.sort()
+                self.codes = pairs[np.diff(pairs, prepend=-1) > 0]
 
     def keys(self, codes: np.ndarray) -> np.ndarray:
         """A hash of each pair (the word before, the word)."""
@@ -215,7 +228,9 @@ def _counts(chunk: Chunk, replies: pa.Table, buckets: int) -> tuple[np.ndarray,
     order, _ = _order(np.concatenate([chunk.hashes[: chunk.m + 1], chunk.keys(chunk.codes)]), buckets)
     out = np.empty(len(found), np.uint64)
     out[order] = found
-    count, own = (out >> U(1)).astype(np.int64), (out & U(1)).astype(bool)
+    own = (out & U(1)).astype(bool)
+    out >>= U(1)
+    count = out.view(np.int64)
     return count[: chunk.m + 1], own[: chunk.m + 1], count[chunk.m + 1 :], own[chunk.m + 1 :]
 
 
@@ -247,22 +262,19 @@ def _own(buckets: int):
     def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         for r in chunks.to_pylist():
-            chunk = Chunk(r["size"], r["words"], r["ids"])
+            chunk = Chunk(r["size"], r["words"], r["ids"], texts=False)
             c, own_word, together, own = _counts(chunk, replies, buckets)
-            own = own & (together > 0)
-            before, word = chunk.codes // chunk.width, chunk.codes % chunk.width
-            customers, tables = np.bincount(word[own], minlength=chunk.width), np.bincount(before[own], minlength=chunk.width)
-            out += _state(r["chunk"], chunk, customers, tables, buckets)
-            many = own & (together > 1)
-            once = own & (together == 1)
-            fixed = [np.bincount(x[once], minlength=chunk.width) for x in (word, before)]
-            codes = chunk.codes[many]
-            codes = np.diff(codes, prepend=0) if len(codes) else codes
+            own &= together > 0
+            codes, together = chunk.codes[own], together[own]
+            word, before = codes % chunk.width, codes // chunk.width
+            out += _state(r["chunk"], chunk, *(np.bincount(x, minlength=chunk.width) for x in (word, before)), buckets)
+            many = together > 1
+            fixed = [np.bincount(x[~many], minlength=chunk.width) for x in (word, before)]
             flags = np.append(own_word & (c > 0), False)
-            blob = pack(np.concatenate([*fixed, flags, codes]))
+            blob = pack(np.concatenate([*fixed, flags, np.diff(codes[many], prepend=0)]))
             out.append(_rows(0, r["chunk"], a=blob, b=pack(together[many]), size=r["size"], words=r["words"]))
             mine = own_word & (c > 0)
-            sums = {ONCE: once.sum(), TWICE: (own & (together == 2)).sum(), TOKENS: c[mine].sum(), KINDS: mine.sum(), TEXTS: int((~np.frombuffer(r["held"], bool)).sum())}
+            sums = {ONCE: (~many).sum(), TWICE: (together == 2).sum(), TOKENS: c[mine].sum(), KINDS: mine.sum(), TEXTS: int((~np.frombuffer(r["held"], bool)).sum())}
             at = np.flatnonzero(mine)
             grams = _grams(*_some(chunk, at), np.ones(len(at)))
             out += _sums(sums | dict(zip(*(x.tolist() for x in grams), strict=True)))
@@ -526,6 +538,25 @@ def _sweep(shared, s: Seating, d_word: float, d_pair: float, draw: int, buckets:
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+#: Distinct pairs of a chunk that are scored at once.
+PAIRS = 1 << 18
+
+
+def _log_mean(chunk: Chunk, codes, together, customers, levels: list, s: Seating, d: float) -> np.ndarray:
+    """log10 of the averaged probability of pairs, whose tables are drawn again from state to state. levels: for each
+    state the tables in each word's restaurant, and the words' chances for scoring and for drawing the next state."""
+    before, word = codes // chunk.width, codes % chunk.width
+    many = np.flatnonzero(together > 1)
+    keys = chunk.keys(codes[many])
+    drawn, mean = np.minimum(together, 1).astype(np.float64), np.zeros(len(codes))
+    for i, (tables, seen, drawing) in enumerate(levels):
+        if i >= s.burn:
+            mean += (np.maximum(together - d * drawn, 0) + (s.theta + d * tables[before]) * seen[word]) / (s.theta + customers[before])
+        if i < s.sweeps:
+            drawn[many] = seat(together[many], (s.theta + d * tables[before[many]]) * drawing[word[many]], d, keys, i)
+    return np.log10(mean / (len(levels) - s.burn))
+
+
 def _score(shared, s: Seating, d_word: float, d_pair: float, n: int, v: int, texts: int, buckets: int):
     """log10 of each text's probability: the states' predictive probabilities, averaged word by word."""
 
@@ -537,26 +568,20 @@ def _score(shared, s: Seating, d_word: float, d_pair: float, n: int, v: int, tex
             c, _, together, _ = _counts(chunk, found.filter(pa.array(state < 0)), buckets)
             customers = np.append(c, texts)
             customers[chunk.m] = 0  # nothing follows the end of a text
-            before, word = chunk.codes // chunk.width, chunk.codes % chunk.width
-            many = np.flatnonzero(together > 1)
-            many_keys = chunk.keys(chunk.codes[many])
-            drawn = np.minimum(together, 1).astype(np.float64)
-            mean, total = np.zeros(len(chunk.codes)), s.theta + customers[before]
             at = np.flatnonzero(c)
             some, (order, _) = _some(chunk, at), _order(chunk.hashes, buckets)
+            levels = []
             for i, level in enumerate(shared.value):
                 k, tables = _placed(order, found.filter(pa.array(state == i)))
                 spelt, seated = level.seated(*some, k[at], chunk.hashes[at], s, d_word, i)
-                if i >= s.burn:
-                    chance = np.full(chunk.width, (s.theta + d_word * level.tables) / (s.theta + level.customers) * max(1 - level.spelt, 1e-9))
-                    chance[at] = level.chance(k[at], seated, spelt, s, d_word, level.tables)
-                    mean += (np.maximum(together - d_pair * drawn, 0) + (s.theta + d_pair * tables[before]) * chance[word]) / total
-                if i == s.sweeps:
-                    break
-                chance = np.zeros(chunk.width)
-                chance[at] = level.chance(k[at], seated, spelt, s, d_word, level.before)
-                drawn[many] = seat(together[many], (s.theta + d_pair * tables[before[many]]) * chance[word[many]], d_pair, many_keys, i)
-            score = np.log10(mean / (len(shared.value) - s.burn))
+                seen, drawing = np.full(chunk.width, (s.theta + d_word * level.tables) / (s.theta + level.customers) * max(1 - level.spelt, 1e-9)), np.zeros(chunk.width)
+                seen[at] = level.chance(k[at], seated, spelt, s, d_word, level.tables)
+                drawing[at] = level.chance(k[at], seated, spelt, s, d_word, level.before)
+                levels.append((tables, seen, drawing))
+            score = np.empty(len(chunk.codes))
+            for low in range(0, len(score), PAIRS):
+                part = slice(low, low + PAIRS)
+                score[part] = _log_mean(chunk, chunk.codes[part], together[part], customers, levels, s, d_pair)
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
             per = [np.add.reduceat(x, chunk.heads) for x in ((c > 0)[chunk.stream].astype(np.int64), base[chunk.stream], score[chunk.inverse])]
             sizes = np.diff(np.append(chunk.heads, len(chunk.stream)))
