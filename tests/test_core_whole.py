@@ -85,9 +85,11 @@ def test_consensus_of_a_hundred_realisations(spark):
     assert np.allclose(got, u, atol=1e-9)
 
 
-def test_membership_equals_cluster_probability_of_pairs(spark):
+@pytest.mark.parametrize("few", [100_000, 2])
+def test_membership_equals_cluster_probability_of_pairs(spark, monkeypatch, few):
     from stratalode.operators import pairings
 
+    monkeypatch.setattr(pairings, "FEW", few)
     rng = np.random.RandomState(4)
     labels = spark.createDataFrame([(r, i, int(c)) for r in range(7) for i, c in enumerate(rng.randint(1, 4, 60))], "real int, id long, cluster long")
     clusters = spark.createDataFrame([(i, int(c)) for i, c in enumerate(rng.randint(1, 4, 60))], "id long, cluster long")
