@@ -460,3 +460,53 @@ def test_semi_supervised_search_of_every_sample(spark, sf_dir):
     for labels, mini, seed in zip(*both, ensembles.seeds(2, 69069), strict=True):
         want = realisation(seed)
         assert (labels == want[0]).all() and (mini == want[1]).all()
+
+
+def test_accluster_is_a_settled_k_means_of_normal_scores(spark, sf_dir):
+    from statistics import NormalDist
+
+    rows = table(spark, sf_dir)
+    n, places, values = len(rows), rows[["x", "y"]].to_numpy(), rows[list(X.V)].to_numpy()
+    near = ((places[:, None] - places[None]) ** 2).sum(2).argsort(1, kind="stable")[:, :10]
+    getis = np.stack([values[[j for j in near[i] if j != i]].mean(0) / max(1e-10, values[i].sum()) for i in range(n)])
+    scores = np.empty_like(getis)
+    for v in range(4):
+        scores[np.argsort(getis[:, v], kind="stable"), v] = [NormalDist().inv_cdf((r + 0.5) / n) for r in range(n)]
+    got = registry.QUERIES["accluster"](spark, sf_dir).orderBy("id").toPandas()
+    part = got["cluster"].to_numpy()
+    assert got["id"].tolist() == rows["id"].tolist() and set(part) == {0, 1, 2, 3}
+    means = np.stack([scores[part == c].mean(0) for c in range(4)])
+    assert (((scores[:, None] - means[None]) ** 2).sum(2).argmin(1) == part).mean() > 0.95
+
+
+def test_elbow_falls_to_settled_costs(spark, sf_dir):
+    x = table(spark, sf_dir)[list(X.V)].to_numpy()
+    got = {r["k"]: r["wcss"] for r in registry.QUERIES["elbow"](spark, sf_dir).collect()}
+    assert sorted(got) == [2, 3, 4, 5]
+    whole, rng = ((x - x.mean(0)) ** 2).sum(), np.random.RandomState(3)
+    for k, cost in got.items():
+        costs = []
+        for _ in range(10):
+            means = x[rng.choice(len(x), k, False)]
+            for _ in range(100):
+                part = ((x[:, None] - means[None]) ** 2).sum(2).argmin(1)
+                means = np.stack([x[part == c].mean(0) if (part == c).any() else means[c] for c in range(k)])
+            costs.append(((x - means[part]) ** 2).sum())
+        assert 0.98 * min(costs) <= cost <= 1.05 * max(costs) < whole
+
+
+def test_forest_predicts_most_of_the_held_out_samples(spark, sf_dir):
+    rows = X.clustered(spark, sf_dir).where("dh >= 20").select("id", "cluster").orderBy("id").toPandas()
+    got = registry.QUERIES["rf_predict"](spark, sf_dir).orderBy("id").toPandas()
+    assert got["id"].tolist() == rows["id"].tolist() and (got["cluster"] == rows["cluster"]).mean() > 0.7
+
+
+@pytest.mark.parametrize(("name", "reals", "codes"), [("gmm", 1, {0, 1, 2}), ("spectral_pic", 1, {0, 1, 2, 3}), ("acensemble", 8, None)])
+def test_every_sample_is_in_one_cluster(spark, sf_dir, name, reals, codes):
+    ids = table(spark, sf_dir)["id"].tolist()
+    got = registry.QUERIES[name](spark, sf_dir).toPandas()
+    assert sorted(got["id"]) == sorted(ids * reals) and not got["cluster"].isna().any()
+    if codes is None:
+        assert got.groupby("real")["id"].nunique().eq(len(ids)).all() and got.groupby("real")["cluster"].nunique().between(2, 4).all()
+    else:
+        assert set(got["cluster"] - got["cluster"].min()) <= codes
