@@ -53,7 +53,7 @@ class Encoder:
     Texts that may hold a special token's string go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
