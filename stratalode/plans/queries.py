@@ -433,7 +433,7 @@ def pairings_unweighted(spark, sf):
 @query(f"with {S}, {LABELS}, {_W} select a.id as i, b.id as j, {R(f'({" + ".join(f"{n} * {_same(n)}" for n in (1, 2, 3, 4))}) / 10.0::double')} as p from wide a join wide b on a.id < b.id")
 def pairings_weighted(spark, sf):
     weights = spark.createDataFrame([(n, float(n)) for n in (1, 2, 3, 4)], "real long, w double")
-    return X.rounded(pairings.pairings(X.labels(spark, sf), weights))
+    return pairings.pairings(X.labels(spark, sf), weights, shown=X.tidy)
 
 
 @query(
