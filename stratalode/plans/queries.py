@@ -520,7 +520,7 @@ def _model_sql(a: str, b: str, coords: str, own: bool) -> str:
 
 @query(f"with {S} select a.id as i, b.id as j, {R('case when a.id = b.id then ' + num(MODEL.total) + ' else ' + _model_sql('a.', 'b.', 'xy', False) + ' end')} as cov from s a join s b on a.id <= b.id")
 def pairwise_cov(spark, sf):
-    return X.rounded(kriging.pairwise(X.samples(spark, sf), MODEL))
+    return kriging.pairwise(X.samples(spark, sf), MODEL).select("i", "j", X.quick("cov").alias("cov"))
 
 
 @query(f"with {S}, o as (select 0.1::double as x, 0.2::double as y) select s.id, {R(_model_sql('s.', 'o.', 'xy', True))} as cov from s, o")
